@@ -324,8 +324,8 @@ FROM (SELECT *, CASE WHEN seq % 13 = 0 THEN lower(type) WHEN seq % 29 = 0 THEN N
 SELECT reservation_id, len(seats)::INTEGER AS n_seats, {seats_text()} AS seats FROM req""",
     "failure_messages": ctes(*PLAIN) + "SELECT reservation_id, error_message FROM results WHERE result = 'FAILED'",
     "event_times": ctes(AREAS, REQ) + """
-SELECT id, epoch_ms(at) AS millis, make_timestamp(epoch_ms(at) * 1000) AS at FROM (
-  SELECT DISTINCT event_id AS id, TIMESTAMP '2024-01-01 10:00:00.123456' AS at FROM areas
+SELECT id, epoch_us(t) // 1000 AS millis, make_timestamp(epoch_us(t) // 1000 * 1000) AS at_ts FROM (
+  SELECT DISTINCT event_id AS id, TIMESTAMP '2024-01-01 10:00:00.123456' AS t FROM areas
   UNION ALL SELECT reservation_id, ts FROM req)""",
     "reservation_json": ctes(*FLOW) + """
 SELECT reservation_id, '{"reservationId":"' || reservation_id || '","userId":"' || user_id || '","eventId":"' || event_id
@@ -460,13 +460,24 @@ FROM c, (SELECT a FROM c WHERE config = 'click') b""",
     "journey_sample": ctes(STAGES) + """
 SELECT reservation_id, stage_no, stage FROM stages WHERE substr(md5(reservation_id), 1, 8) < '19999999'""",
     "reservation_journey": ctes(STAGES) + """
-SELECT *, epoch_ms(stage_ts) - epoch_ms(lag(stage_ts) OVER (PARTITION BY reservation_id ORDER BY stage_ts, stage_no)) AS gap_ms
+SELECT *, epoch_us(stage_ts) // 1000 - epoch_us(lag(stage_ts) OVER (PARTITION BY reservation_id ORDER BY stage_ts, stage_no)) // 1000 AS gap_ms
 FROM stages""",
     "failed_reason_hist": ctes(*FLOW) + """
 SELECT CASE WHEN failed_reason[1] = '[' THEN split_part(failed_reason[2:], ']', 1) ELSE failed_reason END AS reason_class,
        count(*) AS n
 FROM final WHERE state = 'FAILED' GROUP BY 1""",
+    # streams
+    "stream_rate_tumbling": RATE_TUMBLING,
+    "stream_lookup_wait": LOOKUP_WAIT,
+    "stream_prefilter": ctes(*PIN) + "SELECT reservation_id, event_area_id, state, failed_reason FROM decided",
+    "stream_area_latest": ctes(AREA_UPDATES) + "SELECT * FROM updates " + LATEST.format("event_area_id"),
     # the large log
     "line_item_flow": line_flow(hot=False),
     "line_item_flow_hot": line_flow(hot=True),
 }
+
+# Streams that must end up with what their batch twin gives.
+for _name in ("stream_reserve_seats", "stream_restart", "stream_order_by_seq", "stream_small_batches"):
+    ORACLES[_name] = ORACLES["reserve_seats"]
+ORACLES["stream_area_changelog"] = ORACLES["area_status_changelog"]
+ORACLES["stream_lifecycle"] = ORACLES["apply_results"]

@@ -1,10 +1,5 @@
 """Result texts."""
 
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # --- fixed values: texts and templates that callers compare against -------------
 NO_SUCH_AREA = "%s event area does not exist"
 NO_STRATEGY = "%s reservation strategy is not implemented"
@@ -16,8 +11,3 @@ TYPE_NOT_SUPPORTED = "%s type reservation is not supported"
 REJECTED_EARLY = "request rejected at cache level"
 # --------------------------------------------------------------------------------
 
-
-def failure(code: str, template: str, *args: Column) -> Column:
-    return F.struct(
-        F.lit(code).alias("error_code"), F.format_string(template, *args).alias("error_message")
-    )

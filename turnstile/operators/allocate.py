@@ -7,11 +7,13 @@ runs in three steps:
 1. pick the candidates: of all requests that compete for the same thing in one
    area only the first few can win (:mod:`turnstile.operators.strategies`);
 2. fold the candidates over the grid, one area at a time;
-3. answer every request, candidate or not, from the finished area state, with
-   built-in expressions and one join on the area.
+3. answer every request, candidate or not, from the finished area states, with
+   built-in expressions and hash joins.
 
 Step 2 sees a number of rows that depends on the area's size, not on the number
-of requests, so an area holding a third of all requests is no hot spot.
+of requests, so an area holding a third of all requests is no hot spot.  Its
+output, bounded by the number of seats, is written once to the shared folder and
+read by everything that needs it; its file size tells Spark whether to broadcast.
 """
 
 from __future__ import annotations
@@ -25,12 +27,10 @@ from turnstile.functions import grid as G
 from turnstile.functions import messages as M
 from turnstile.functions.asof import ARRAY_VERSIONS, asof_by_array, asof_by_scan
 from turnstile.functions.records import log_key
-from turnstile.operators.fold import KEY, REPEATS, TAKEN_BEFORE, fold
+from turnstile.operators.fold import STATE_DDL, fold, new_states, resumed_states
 from turnstile.operators.strategies import STRATEGIES, Strategy, refused, request_key
-from turnstile.session import cut_lineage
+from turnstile.session import cut_lineage, write_once
 
-# Most seats, over all areas, whose holders are sent to every executor.
-BROADCAST_SEATS = 1_000_000
 # Most candidates of one area that one task folds in one go.
 FOLD_LIMIT = 200_000
 
@@ -39,49 +39,40 @@ FOLD_LIMIT = 200_000
 class AreaBounds:
     """Sizes measured on the area table; they decide between plans, never results."""
 
-    seats: int
+    areas: int
     largest: int
-    versions: int
 
 
-def area_epochs(areas: DataFrame) -> DataFrame:
-    """Area definitions as initial fold states; each re-creation starts a new epoch.
+@dataclass(frozen=True)
+class RequestBounds:
+    """Most requests of one area, and most of types whose candidates have no fixed bound."""
 
-    ``areas`` may carry ``grid`` and ``available_seats`` to start from a grid
-    that is partly taken.
-    """
-    rows, cols = F.col("row_count"), F.col("col_count")
-    grid = F.col("grid") if "grid" in areas.columns else G.full_grid(rows, cols)
-    seats = F.col("available_seats") if "available_seats" in areas.columns else G.capacity(rows, cols)
-    return areas.select(
-        "event_area_id",
-        F.col("seq").cast("bigint").alias("epoch"),
-        "row_count",
-        "col_count",
-        grid.alias("grid"),
-        seats.cast("int").alias("available_seats"),
-        seats.cast("int").alias("initial_seats"),
-        F.lit(None).cast(f"array<{KEY}>").alias("taken"),
-        F.lit(None).cast(REPEATS).alias("repeats"),
-        F.lit(None).cast(KEY).alias("last_win"),
-    )
+    any_type: int
+    unbounded: int
 
 
 def measure(epochs: DataFrame) -> AreaBounds:
     seats = G.capacity(F.col("row_count"), F.col("col_count"))
-    row = (
-        epochs.groupBy("event_area_id")
-        .agg(F.sum(seats.cast("bigint")).alias("seats"), F.max(seats).alias("largest"), F.count("*").alias("versions"))
-        .agg(F.sum("seats"), F.max("largest"), F.max("versions"))
-        .first()
+    row = epochs.agg(F.count("*"), F.max(seats)).first()
+    return AreaBounds(row[0], row[1] or 0)
+
+
+def measure_requests(requests: DataFrame, registry: dict[str, Strategy]) -> RequestBounds:
+    """Counted before any filter: cheap to read, and never too low."""
+    unbounded = [name for name, strategy in registry.items() if not strategy.bounded]
+    per_area = requests.groupBy("event_area_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("type").isin(*unbounded)).alias("unbounded")
     )
-    return AreaBounds(*[value or 0 for value in row])
+    return RequestBounds(*[value or 0 for value in per_area.agg(F.max("n"), F.max("unbounded")).first()])
 
 
 def place(requests: DataFrame, epochs: DataFrame, bounds: AreaBounds) -> DataFrame:
     """Add epoch, row_count and col_count: the area as it was when the request came."""
     versions = epochs.select("event_area_id", "epoch", "row_count", "col_count")
-    join = asof_by_array if bounds.versions <= ARRAY_VERSIONS else asof_by_scan
+    most = bounds.areas
+    if most > ARRAY_VERSIONS:
+        most = versions.groupBy("event_area_id").count().agg(F.max("count")).first()[0]
+    join = asof_by_array if most <= ARRAY_VERSIONS else asof_by_scan
     return join(requests, versions, "event_area_id", "epoch", "seq")
 
 
@@ -113,22 +104,24 @@ def _by_type(registry: dict[str, Strategy], part: str, otherwise: Column) -> Col
     return chain.otherwise(otherwise)
 
 
-def candidates(placed: DataFrame, registry: dict[str, Strategy], bounds: AreaBounds) -> DataFrame:
-    """The requests that may get seats, as fold input."""
-    contested = (
+def contested(placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
+    """The requests that could win seats in an empty area, as fold input plus ``_winners``."""
+    return (
         placed.where(F.col("epoch").isNotNull() & F.col("type").isin(*registry))
+        .withColumn("_winners", _by_type(registry, "winners", F.lit(0)))
+        .where(F.col("_winners") > 0)
         .select(
             "event_area_id", "epoch", "row_count", "col_count",
-            "seq", "reservation_id", "type", "num_of_seats", "seats",
+            "seq", "reservation_id", "type", "num_of_seats", "seats", "_winners",
         )
-        .withColumn("_winners", _by_type(registry, "winners", F.lit(0)))
-        .where(F.col("_winners") > 0)
-        .withColumn("_rivals", _by_type(registry, "rivals", F.lit(None)))
     )
-    first = first_of_each(
-        contested, ["event_area_id", "epoch", "type", "_rivals"], "_winners", max(bounds.largest, 1)
-    )
-    return first.drop("_winners", "_rivals", "row_count", "col_count")
+
+
+def candidates(pool: DataFrame, registry: dict[str, Strategy], bounds: AreaBounds) -> DataFrame:
+    """Of the contested requests, those that may still win given all their earlier rivals."""
+    ranked = pool.withColumn("_rivals", _by_type(registry, "rivals", F.lit(None)))
+    by = ["event_area_id", "epoch", "type", "_rivals"]
+    return first_of_each(ranked, by, "_winners", max(bounds.largest, 1)).drop("_rivals")
 
 
 def _log_prefix(pool: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +152,11 @@ def _fold_in_rounds(
     up a prefix of each log, so the loop ends.
     """
     area = ["event_area_id", "epoch"]
+    inputs = states
     while True:
         chunk, ends = _log_prefix(pool, limit)
-        states = cut_lineage(fold(states, chunk, picks))
+        states = cut_lineage(fold(inputs, chunk, picks))
+        inputs = resumed_states(states)
         pool = cut_lineage(
             pool.join(ends, area)
             .where(request_key() > F.col("_end"))
@@ -174,18 +169,51 @@ def _fold_in_rounds(
 
 
 def fold_areas(
-    epochs: DataFrame, placed: DataFrame, registry: dict[str, Strategy], bounds: AreaBounds, limit: int = FOLD_LIMIT
+    states: DataFrame,
+    placed: DataFrame,
+    registry: dict[str, Strategy],
+    areas: AreaBounds,
+    requests: RequestBounds,
+    limit: int = FOLD_LIMIT,
 ) -> DataFrame:
-    """Final state of every (area, epoch)."""
-    pool = candidates(placed, registry, bounds)
+    """Final state of every (area, epoch).
+
+    Small areas are folded as they are.  As soon as one area has more than
+    ``limit`` requests, candidates are picked first; if that area has more than
+    ``limit`` candidates of types that have no fixed bound, the fold goes in
+    rounds.
+    """
+    pool = contested(placed, registry)
     picks = {name: strategy.pick for name, strategy in registry.items()}
-    unbounded = [name for name, strategy in registry.items() if not strategy.bounded]
-    if placed.where(F.col("type").isin(*unbounded)).count() > limit:
+    if requests.any_type > limit:
+        pool = candidates(pool, registry, areas)
+    pool = pool.drop("_winners", "row_count", "col_count")
+    if requests.unbounded > limit:
         pool = cut_lineage(pool)
         worst = pool.groupBy("event_area_id", "epoch").count().agg(F.max("count")).first()[0] or 0
         if worst > limit:
-            return _fold_in_rounds(epochs, pool, registry, picks, limit)
-    return fold(epochs, pool, picks)
+            return _fold_in_rounds(states, pool, registry, picks, limit)
+    return fold(states, pool, picks)
+
+
+def refusal_of(registry: dict[str, Strategy], area_known: Column) -> Column:
+    """Why a request was refused, null if it was not.
+
+    Uses ``_cells``, the cells it won or null, and the columns of ``Strategy.refusal``.
+    """
+    chain = F.when(~area_known, refused("INVALID_EVENT_AREA", M.NO_SUCH_AREA, F.col("event_area_id"))).when(
+        F.col("_cells").isNotNull(), None
+    )
+    for name, strategy in registry.items():
+        chain = chain.when(F.col("type") == name, strategy.refusal())
+    return chain.otherwise(refused("INVALID_ARGUMENT", M.NO_STRATEGY, F.col("type")))
+
+
+def cells_to_seats(cells: Column, col_count: Column) -> Column:
+    return F.transform(
+        F.coalesce(cells, F.array().cast("array<int>")),
+        lambda cell: F.struct(F.floor(cell / col_count).cast("int").alias("row"), (cell % col_count).alias("col")),
+    )
 
 
 @dataclass(frozen=True)
@@ -196,94 +224,100 @@ class Allocation:
     active: Column
     areas: DataFrame
     states: DataFrame
-    bounds: AreaBounds
     registry: dict[str, Strategy]
 
-    def _with_state(self) -> DataFrame:
-        states = self.states.select("event_area_id", "epoch", "taken", "last_win", "repeats", "initial_seats")
-        if self.bounds.seats <= BROADCAST_SEATS:
-            states = F.broadcast(states)
-        return self.placed.join(states, ["event_area_id", "epoch"], "left")
-
     def _answered(self) -> DataFrame:
-        known = (
-            F.when(
-                F.col("epoch").isNull(),
-                refused("INVALID_EVENT_AREA", M.NO_SUCH_AREA, F.col("event_area_id")),
-            )
+        """Placed requests with ``_cells``, ``_seats_left`` (both null if none were won) and ``_refusal``."""
+        win = F.explode("wins")
+        wins = self.states.select("event_area_id", win.alias("win")).select(
+            "event_area_id",
+            F.col("win.seq").alias("seq"),
+            F.col("win.id").alias("reservation_id"),
+            F.col("win.cells").alias("_cells"),
+            F.col("win.available_seats").alias("_seats_left"),
         )
-        for name, strategy in self.registry.items():
-            known = known.when(F.col("type") == name, strategy.answer())
-        answer = known.otherwise(refused("INVALID_ARGUMENT", M.NO_STRATEGY, F.col("type")))
-        return self._with_state().withColumn("_answer", F.when(self.active, answer))
+        # Only refusals that depend on the grid look at the holders of its cells.
+        holders = self.states.select(
+            F.col("event_area_id").alias("_area"), F.col("epoch").alias("_epoch"), "taken"
+        )
+        asking = [name for name, strategy in self.registry.items() if strategy.needs_taken]
+        looked_up = self.placed.join(wins, ["event_area_id", "seq", "reservation_id"], "left").join(
+            holders,
+            (F.col("event_area_id") == F.col("_area"))
+            & (F.col("epoch") == F.col("_epoch"))
+            & F.col("type").isin(*asking),
+            "left",
+        )
+        refusal = refusal_of(self.registry, F.col("epoch").isNotNull())
+        return looked_up.withColumn("_refusal", F.when(self.active, refusal)).drop("_area", "_epoch")
 
     def results(self) -> DataFrame:
         """All request columns plus result, reserved_seats, error_code, error_message.
 
         Requests that were not active keep nulls in the added columns.
         """
+        won = cells_to_seats(F.col("_cells"), F.col("col_count"))
+        succeeded = self.active & F.col("_refusal").isNull()
         state = ["epoch", "row_count", "col_count"]
         return self._answered().select(
             *[c for c in self.placed.columns if c not in state],
-            F.when(
-                F.col("_answer").isNotNull(),
-                F.when(F.col("_answer.error_code").isNull(), "SUCCESS").otherwise("FAILED"),
-            ).alias("result"),
-            F.col("_answer.seats").alias("reserved_seats"),
-            F.col("_answer.error_code").alias("error_code"),
-            F.col("_answer.error_message").alias("error_message"),
+            F.when(succeeded, "SUCCESS").when(self.active, "FAILED").alias("result"),
+            F.when(succeeded, won).alias("reserved_seats"),
+            F.col("_refusal.error_code").alias("error_code"),
+            F.col("_refusal.error_message").alias("error_message"),
         )
 
     def final_areas(self) -> DataFrame:
-        """Grid and counters of every area after the last request."""
-        states = self.states
-        if self.bounds.versions > 1:
-            newest = self.areas.groupBy("event_area_id").agg(F.max(F.col("seq").cast("bigint")).alias("epoch"))
-            states = states.join(newest, ["event_area_id", "epoch"])
-        return states.select(
+        """Grid and counters of every area after the last request.
+
+        ``free_seats`` counts the grid; ``available_seats`` may be lower.
+        """
+        newest = self.areas.groupBy("event_area_id").agg(F.max(F.col("seq").cast("bigint")).alias("epoch"))
+        return self.states.join(newest, ["event_area_id", "epoch"]).select(
             "event_area_id", "row_count", "col_count", "available_seats", "grid",
-            (F.length("grid") - F.length(F.replace(F.col("grid"), F.lit("1")))).alias("free_seats"),
+            F.length(F.regexp_replace("grid", "[0|]", "")).alias("free_seats"),
         )
 
     def changelog(self) -> DataFrame:
         """One row per area creation and per success, with the state it left behind."""
-        created = area_epochs(self.areas).select(
-            "event_area_id", F.col("epoch").alias("seq"), F.lit(None).cast("string").alias("reservation_id"),
-            "row_count", "col_count", "available_seats", "grid",
+        shape = ["event_area_id", "seq", "reservation_id", "row_count", "col_count", "available_seats", "grid"]
+        created = new_states(self.areas).withColumns(
+            {"seq": F.col("epoch"), "reservation_id": F.lit(None).cast("string")}
         )
         key = request_key()
+        sales = self.states.withColumn("win", F.explode("wins")).withColumns(
+            {"seq": F.col("win.seq"), "reservation_id": F.col("win.id"), "available_seats": F.col("win.available_seats")}
+        )
+        # A success without seats leaves the state as it was.
+        state = self.states.select("event_area_id", "epoch", "initial_seats", "taken", "wins")
+        earlier = F.filter("wins", lambda w: log_key(w["seq"], w["id"]) < key)
+        unchanged = (
+            self._answered()
+            .where(self.active & F.col("_refusal").isNull() & F.col("_cells").isNull())
+            .drop("taken")
+            .join(state, ["event_area_id", "epoch"])
+            .withColumn(
+                "available_seats",
+                F.coalesce(F.get(earlier, F.size(earlier) - 1)["available_seats"], F.col("initial_seats")),
+            )
+        )
         rows, cols = F.col("row_count"), F.col("col_count")
-
-        def taken_by_now(holder: Column) -> Column:
-            return F.coalesce(holder <= key, F.lit(False))
-
-        grid = F.array_join(
+        grid_then = F.array_join(
             F.transform(
                 G.indices(rows),
                 lambda r: F.array_join(
                     F.transform(
                         F.slice("taken", r * cols + 1, cols),
-                        lambda holder: F.when(taken_by_now(holder), "0").otherwise("1"),
+                        lambda holder: F.when(holder <= key, "0").otherwise("1"),
                     ),
                     "",
                 ),
             ),
             "|",
         )
-        sold = F.size(F.filter("taken", lambda t: taken_by_now(t) & (t["seq"] > TAKEN_BEFORE[0])))
-        surplus = F.aggregate(
-            F.filter("repeats", lambda x: log_key(x["seq"], x["id"]) <= key), F.lit(0), lambda a, x: a + x["extra"]
-        )
-        sales = (
-            self._answered()
-            .where(F.col("_answer").isNotNull() & F.col("_answer.error_code").isNull())
-            .select(
-                "event_area_id", "seq", "reservation_id", "row_count", "col_count",
-                (F.col("initial_seats") - sold - surplus).alias("available_seats"),
-                F.when((rows > 0) & (cols > 0), grid).otherwise("").alias("grid"),
-            )
-        )
-        return created.unionByName(sales)
+        grid_then = F.when((rows > 0) & (cols > 0), grid_then).otherwise("")
+        changes = [d.withColumn("grid", grid_then).select(*shape) for d in (sales, unchanged)]
+        return created.select(*shape).unionByName(changes[0]).unionByName(changes[1])
 
 
 def allocate(
@@ -298,10 +332,14 @@ def allocate(
     requests: seq, reservation_id, event_area_id, event_id, area_id, num_of_seats, type, seats, and
         any other columns, which are kept.  active: only these rows take part.
     areas: seq, event_area_id, row_count, col_count, optionally grid and available_seats.
+
+    Runs the fold; the tables read from the returned object are lazy.
     """
     active = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
-    epochs = area_epochs(areas)
-    bounds = measure(epochs)
-    placed = place(requests, epochs, bounds)
-    states = fold_areas(epochs, placed.where(active), registry, bounds, fold_limit)
-    return Allocation(placed, active, areas, states, bounds, registry)
+    empty = new_states(areas)
+    bounds = measure(empty)
+    placed = place(requests, empty, bounds)
+    states = fold_areas(
+        empty, placed.where(active), registry, bounds, measure_requests(requests, registry), fold_limit
+    )
+    return Allocation(placed, active, areas, write_once(states, STATE_DDL, "area-states"), registry)

@@ -7,34 +7,35 @@ candidate requests.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstile.functions import grid as G
 from turnstile.operators.strategies import FREE, TAKEN
 
 KEY = "struct<seq:bigint,id:string>"
-REPEATS = "array<struct<seq:bigint,id:string,extra:int>>"
+WINS = "array<struct<seq:bigint,id:string,cells:array<int>,available_seats:int>>"
 
 # Holder of seats that were already taken when the area's state was written.
 TAKEN_BEFORE = (-(2**63), "")
 
-# Columns of an area's state.  `taken` names the request holding each seat, in
-# row-major order, null where free.  `repeats` lists the wins that named a seat
-# more than once, with the number of surplus mentions: those lower the seat
-# counter without taking a seat.
+# An area's state.  Cells are seats numbered row by row.  `taken` names the
+# request holding each cell, null where free.  `wins` lists the successes in log
+# order with their cells, as asked for, and the seat counter they left behind.
+# Both are bounded by the number of seats.
 STATE_DDL = (
     "event_area_id string, epoch bigint, row_count int, col_count int, grid string, "
-    f"available_seats int, initial_seats int, taken array<{KEY}>, repeats {REPEATS}, last_win {KEY}"
-)
-REQUEST_DDL = (
-    "seq bigint, reservation_id string, type string, num_of_seats int, seats array<struct<row:int,col:int>>"
+    f"available_seats int, initial_seats int, taken array<{KEY}>, wins {WINS}"
 )
 
 _KEY = pa.struct([("seq", pa.int64()), ("id", pa.string())])
-_REPEAT = pa.struct([("seq", pa.int64()), ("id", pa.string()), ("extra", pa.int32())])
+_WIN = pa.struct(
+    [("seq", pa.int64()), ("id", pa.string()), ("cells", pa.list_(pa.int32())), ("available_seats", pa.int32())]
+)
 _STATE_SCHEMA = pa.schema(
     [
         ("event_area_id", pa.string()),
@@ -45,21 +46,16 @@ _STATE_SCHEMA = pa.schema(
         ("available_seats", pa.int32()),
         ("initial_seats", pa.int32()),
         ("taken", pa.list_(_KEY)),
-        ("repeats", pa.list_(_REPEAT)),
-        ("last_win", _KEY),
+        ("wins", pa.list_(_WIN)),
     ]
 )
 
 
 def mark(grid: bytearray, cols: int, seats: list) -> list:
-    """Take ``seats``; returns the row-major numbers of those that were free."""
-    cells = []
+    """Take ``seats``; returns their cells."""
     for row, col in seats:
-        at = row * (cols + 1) + col
-        if grid[at] == FREE:
-            grid[at] = TAKEN
-            cells.append(row * cols + col)
-    return cells
+        grid[row * (cols + 1) + col] = TAKEN
+    return [row * cols + col for row, col in seats]
 
 
 class AreaFold:
@@ -70,13 +66,14 @@ class AreaFold:
         self.grid = bytearray(row["grid"], "ascii")
         self.rows, self.cols = row["row_count"], row["col_count"]
         self.available = row["available_seats"]
-        self.repeats = row["repeats"] or []
-        self.last_win = row["last_win"]
-        if row["taken"] is None:
+        if row["past"] is None:
             seats = self.grid.replace(b"|", b"")
             self.taken = [None if seat == FREE else TAKEN_BEFORE for seat in seats]
+            self.wins = []
         else:
-            self.taken = [t and (t["seq"], t["id"]) for t in row["taken"]]
+            past = json.loads(row["past"])
+            self.taken = [t and (t["seq"], t["id"]) for t in past["taken"]]
+            self.wins = past["wins"]
 
     def request(self, pick, key: tuple, count: int, seats: list) -> None:
         won = pick(self.grid, self.rows, self.cols, count, seats)
@@ -85,10 +82,9 @@ class AreaFold:
         cells = mark(self.grid, self.cols, won)
         for cell in cells:
             self.taken[cell] = key
-        self.available -= len(won)
-        self.last_win = {"seq": key[0], "id": key[1]}
-        if len(won) > len(cells):
-            self.repeats.append({"seq": key[0], "id": key[1], "extra": len(won) - len(cells)})
+        # A seat named twice lowers the counter twice.
+        self.available -= len(cells)
+        self.wins.append({"seq": key[0], "id": key[1], "cells": cells, "available_seats": self.available})
 
 
 def _key_lists(areas: list[AreaFold]) -> pa.Array:
@@ -121,14 +117,13 @@ def _state_batch(areas: list[AreaFold]) -> pa.RecordBatch:
             column("available_seats", [a.available for a in areas]),
             column("initial_seats", [a.row["initial_seats"] for a in areas]),
             _key_lists(areas),
-            column("repeats", [a.repeats for a in areas]),
-            column("last_win", [a.last_win for a in areas]),
+            column("wins", [a.wins for a in areas]),
         ],
         schema=_STATE_SCHEMA,
     )
 
 
-_STATE_FIELDS = [f.name for f in _STATE_SCHEMA]
+_STATE_FIELDS = [f.name for f in _STATE_SCHEMA if f.name not in ("taken", "wins")] + ["past"]
 
 
 def _fold_task(picks: dict, seats_per_batch: int = 200_000):
@@ -158,6 +153,37 @@ def _fold_task(picks: dict, seats_per_batch: int = 200_000):
     return run
 
 
+def new_states(areas: DataFrame) -> DataFrame:
+    """Fold states of areas that have seen no request; one epoch per creation.
+
+    ``areas`` may carry ``grid`` and ``available_seats`` to start from a grid
+    that is partly taken.
+    """
+    rows, cols = F.col("row_count"), F.col("col_count")
+    grid = F.col("grid") if "grid" in areas.columns else G.full_grid(rows, cols)
+    seats = F.col("available_seats") if "available_seats" in areas.columns else G.capacity(rows, cols)
+    return areas.select(
+        "event_area_id",
+        F.col("seq").cast("bigint").alias("epoch"),
+        "row_count",
+        "col_count",
+        grid.alias("grid"),
+        seats.cast("int").alias("available_seats"),
+        seats.cast("int").alias("initial_seats"),
+        F.lit(None).cast("string").alias("past"),
+    )
+
+
+def resumed_states(states: DataFrame) -> DataFrame:
+    """States as written by a fold, as input of the next.
+
+    What happened so far travels as one text column: it is null on every
+    request row, and null nested columns are slow to hand to Python.
+    """
+    past = F.to_json(F.struct("taken", "wins"), {"ignoreNullFields": "false"})
+    return states.withColumn("past", past).drop("taken", "wins")
+
+
 def fold(states: DataFrame, candidates: DataFrame, picks: dict) -> DataFrame:
     """Apply candidate requests to area states, in log order within each area.
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions.records import failure_reason
-from turnstile.operators.tables import latest_per_key
 
 RESERVATION = [
     "seq", "ts", "reservation_id", "user_id", "event_id", "area_id",
@@ -36,13 +35,29 @@ def settle(rows: DataFrame) -> DataFrame:
 def apply_results(reservations: DataFrame, results: DataFrame) -> DataFrame:
     """Updated reservations for a table of results; results of unknown ids are dropped.
 
-    ``reservations`` has one row per id.  Of several results for one id the last
-    in its log decides, as each would overwrite the one before.
+    ``reservations`` has one row per id.  Several results for one id overwrite
+    one another in log order: the last one decides the state, the last success
+    the seats and the last failure the reason.
     """
-    last = latest_per_key(results, "reservation_id", ["seq"]).select(
-        "reservation_id", "result", F.col("seats").alias("reserved_seats"), "error_code", "error_message"
+    position = F.struct("seq", "ts")
+    won, lost = F.col("result") == "SUCCESS", F.col("result") == "FAILED"
+    reason = failure_reason(F.col("error_code"), F.col("error_message"))
+    merged = results.groupBy("reservation_id").agg(
+        F.max_by("result", position).alias("_result"),
+        F.max_by("seats", F.when(won, position)).alias("_seats"),
+        F.max_by(reason, F.when(lost, position)).alias("_reason"),
+    )
+    return (
+        reservations.join(merged, "reservation_id")
+        .withColumns(
+            {
+                "state": F.when(F.col("_result") == "SUCCESS", "RESERVED").otherwise("FAILED"),
+                "seats": F.coalesce("_seats", "seats"),
+                "failed_reason": F.coalesce("_reason", "failed_reason"),
+            }
+        )
+        .select(*reservations.columns)
     )
-    return settle(reservations.join(last, "reservation_id")).select(*reservations.columns)
 
 
 def unmatched_results(reservations: DataFrame, results: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ be answered without entering the fold at all:
 * ``rivals`` and ``winners`` say that of all requests of one area with the same
   ``rivals`` value, only the first ``winners`` can possibly get seats.  The fold
   needs no others.
-* ``answer`` derives each request's result from the area's finished fold: which
-  request took each seat, and so what was still free at any point of the log.
+* ``refusal`` says why a request got no seats, from the area's finished fold:
+  which request took each seat, and so what was still free at any point of the log.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from turnstile.functions import grid as G
 from turnstile.functions import messages as M
 from turnstile.functions.records import event_area_key, log_key
-from turnstile.schemas import SEATS
 
 FREE, TAKEN = ord("1"), ord("0")
 
@@ -34,8 +33,8 @@ class Strategy:
 
     passes: request columns + row_count, col_count, available_seats, grid
     rivals, winners: request columns + row_count, col_count
-    answer: request columns + row_count, col_count, taken, last_win;
-        gives struct(seats, error_code, error_message), error_code null on success
+    refusal: request columns + row_count, col_count and, if ``needs_taken``, taken;
+        asked of requests that won no seat, null if such a request succeeds all the same
     alive: request columns + col_count, grid; false only if the grid rules the request out
     bounded: the area's size alone bounds how many requests ``winners`` lets through
     """
@@ -44,24 +43,15 @@ class Strategy:
     passes: Callable[[], Column]
     rivals: Callable[[], Column]
     winners: Callable[[], Column]
-    answer: Callable[[], Column]
+    refusal: Callable[[], Column]
     alive: Callable[[], Column] = lambda: F.lit(True)
     bounded: bool = False
-
-
-def success(seats: Column) -> Column:
-    return F.struct(
-        seats.cast(SEATS).alias("seats"),
-        F.lit(None).cast("string").alias("error_code"),
-        F.lit(None).cast("string").alias("error_message"),
-    )
+    needs_taken: bool = True
 
 
 def refused(code: str, template: str, *args: Column) -> Column:
     return F.struct(
-        F.lit(None).cast(SEATS).alias("seats"),
-        F.lit(code).alias("error_code"),
-        F.format_string(template, *args).alias("error_message"),
+        F.lit(code).alias("error_code"), F.format_string(template, *args).alias("error_message")
     )
 
 
@@ -69,28 +59,6 @@ def request_key() -> Column:
     return log_key(F.col("seq"), F.col("reservation_id"))
 
 
-def cells_won() -> Column:
-    """Seats, in grid order, that the fold gave to this request; empty if none.
-
-    Requests after the area's last success are told apart without a search.
-    """
-    key = request_key()
-    cols = F.col("col_count")
-    mine = F.filter(
-        F.transform(F.col("taken"), lambda t, i: F.struct(t.alias("by"), i.alias("at"))),
-        lambda cell: cell["by"] == key,
-    )
-    return F.when(
-        key <= F.col("last_win"),
-        F.transform(
-            mine,
-            lambda cell: F.struct(
-                F.floor(cell["at"] / cols).cast("int").alias("row"), (cell["at"] % cols).alias("col")
-            ),
-        ),
-    ).otherwise(F.array().cast(SEATS))
-
-
 # --- first run of adjacent seats --------------------------------------------------
 
 
@@ -117,22 +85,10 @@ def _run_winners() -> Column:
     return F.when((n > 0) & (n <= cols), F.greatest(rows, F.lit(0)) * F.floor(cols / n).cast("int")).otherwise(0)
 
 
-def _run_answer() -> Column:
-    n, cols = F.col("num_of_seats"), F.col("col_count")
-    key = request_key()
-    first = F.array_position("taken", key)
-    won = (n > 0) & (n <= cols) & (key <= F.col("last_win")) & (first > 0)
-    seats = F.transform(
-        G.indices(n),
-        lambda i: F.struct(
-            F.floor((first - 1) / cols).cast("int").alias("row"),
-            (F.pmod(first - 1, cols) + i).cast("int").alias("col"),
-        ),
-    )
-    return (
-        F.when(n <= 0, refused("INVALID_ARGUMENT", M.BAD_COUNT, n))
-        .when(won, success(seats))
-        .otherwise(refused("NOT_AVAILABLE", M.NO_RUN, n, F.col("area_id"), F.col("event_id")))
+def _run_refusal() -> Column:
+    n = F.col("num_of_seats")
+    return F.when(n <= 0, refused("INVALID_ARGUMENT", M.BAD_COUNT, n)).otherwise(
+        refused("NOT_AVAILABLE", M.NO_RUN, n, F.col("area_id"), F.col("event_id"))
     )
 
 
@@ -164,7 +120,7 @@ def _named_winners() -> Column:
     return F.when(possible, 1).otherwise(0)
 
 
-def _named_answer() -> Column:
+def _named_refusal() -> Column:
     rows, cols = F.col("row_count"), F.col("col_count")
     key = request_key()
     area = event_area_key(F.col("event_id"), F.col("area_id"))
@@ -173,9 +129,10 @@ def _named_answer() -> Column:
         holder = F.get(F.col("taken"), s["row"] * cols + s["col"])
         return ~G.in_range(s, rows, cols) | F.coalesce(holder < key, F.lit(False))
 
+    # Seats are looked at in the order asked for; no seats asked for, none refused.
     first = F.get(F.filter("seats", refused_seat), F.lit(0))
     return (
-        F.when(first.isNull(), success(F.col("seats")))
+        F.when(first.isNull(), None)
         .when(G.in_range(first, rows, cols), refused("NOT_AVAILABLE", M.SEAT_TAKEN, area, first["row"], first["col"]))
         .otherwise(refused("INVALID_SEAT", M.BAD_SEAT, area, first["row"], first["col"]))
     )
@@ -187,16 +144,17 @@ STRATEGIES: dict[str, Strategy] = {
         passes=_run_passes,
         rivals=lambda: F.col("num_of_seats").cast("string"),
         winners=_run_winners,
-        answer=_run_answer,
+        refusal=_run_refusal,
         alive=lambda: G.has_run(F.col("grid"), F.col("num_of_seats")),
         bounded=True,
+        needs_taken=False,
     ),
     "SELF_PICK": Strategy(
         pick=pick_named_seats,
         passes=_named_passes,
         rivals=_named_rivals,
         winners=_named_winners,
-        answer=_named_answer,
+        refusal=_named_refusal,
         alive=lambda: F.forall("seats", lambda s: G.is_free(F.col("grid"), s, F.col("col_count"))),
     ),
 }
@@ -211,19 +169,14 @@ def register_strategy(
 ) -> dict[str, Strategy]:
     """A registry that also knows ``request_type``; ``base`` is left as it is.
 
-    ``pick`` returns free seats, each once, or None.  ``refusal`` gives the
-    ``refused(...)`` struct of a request that got no seats.
+    ``pick`` returns free seats or None; ``refusal`` gives the ``refused(...)``
+    struct of a request that got none.
     """
-
-    def answer() -> Column:
-        won = cells_won()
-        return F.when(F.size(won) > 0, success(won)).otherwise(refusal())
-
     added = Strategy(
         pick=pick,
         passes=passes,
         rivals=lambda: F.col("reservation_id"),
         winners=lambda: F.lit(1),
-        answer=answer,
+        refusal=refusal,
     )
     return {**base, request_type: added}

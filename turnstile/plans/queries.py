@@ -282,10 +282,10 @@ def failure_messages(spark, sf):
 @query
 def event_times(spark, sf):
     definitions = D.create_events(spark, sf).select(
-        F.col("event_name").alias("id"), to_millis(F.col("opening_ts")).alias("millis"), at_millis(F.col("opening_ts")).alias("at")
+        F.col("event_name").alias("id"), to_millis(F.col("opening_ts")).alias("millis"), at_millis(F.col("opening_ts")).alias("at_ts")
     )
     requested = D.requests(spark, sf).select(
-        F.col("reservation_id").alias("id"), to_millis(F.col("ts")).alias("millis"), at_millis(F.col("ts")).alias("at")
+        F.col("reservation_id").alias("id"), to_millis(F.col("ts")).alias("millis"), at_millis(F.col("ts")).alias("at_ts")
     )
     return definitions.unionByName(requested)
 

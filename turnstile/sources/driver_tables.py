@@ -12,10 +12,14 @@ from turnstile.functions import grid as G
 from turnstile.functions.records import event_area_key
 from turnstile.operators.projections import area_status, event_areas, normalise_requests
 from turnstile.schemas import SEATS
+from turnstile.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its zone-less times are read as instants in the session's zone (UTC)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    times = [n for n, kind in df.dtypes if kind == "timestamp_ntz"]
+    return df.withColumns({n: F.col(n).cast("timestamp") for n in times}) if times else df
 
 
 # --- events with nested areas: one event per region, one area per nation ------------
@@ -60,7 +64,7 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reservation requests as sent: unknown types and missing seat lists included."""
     events = (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"), "event_id")
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .withColumn("nk", F.col("k") % 26)
     )
@@ -222,12 +226,13 @@ def line_requests(spark: SparkSession, sf_dir: str, hot: Column | None = None) -
     ``seq`` is the ship date; the id, unique per line, breaks ties.  Rows where
     ``hot`` holds all go to the area of supplier 0.
     """
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     supplier = F.col("l_suppkey") if hot is None else F.when(hot, 0).otherwise(F.col("l_suppkey"))
-    lines = table(spark, sf_dir, "lineitem").withColumn("supplier", supplier)
+    lines = table(spark, sf_dir, "lineitem").select(*key, "l_quantity", "l_shipdate")
+    lines = spread(lines, *key).withColumn("supplier", supplier)
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_nationkey")
     event_id = F.concat(F.lit("event-"), F.col("s_nationkey").cast("string"))
     area_id = F.col("supplier").cast("string")
-    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return lines.join(suppliers, "supplier").select(
         F.unix_date(F.to_date("l_shipdate")).cast("bigint").alias("seq"),
         F.col("l_shipdate").alias("ts"),
