@@ -11,7 +11,7 @@ import json
 import os
 import time
 
-from turnstile.operators import projections, report
+from turnstile.operators import prefilter, projections, report
 from turnstile.operators.allocate import allocate
 from turnstile.plans import queries as Q
 from turnstile.session import build_session
@@ -24,8 +24,6 @@ def fold_only(spark, sf):
 
 
 def line_selectivity(spark, sf):
-    from turnstile.operators import prefilter
-
     areas = D.supplier_areas(spark, sf)
     return report.selectivity(prefilter.decide(D.line_requests(spark, sf), projections.area_status(areas)))
 
@@ -56,6 +54,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
         spark__python__sql__dataFrameDebugging__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     requests = D.table(spark, sf, "lineitem").count()

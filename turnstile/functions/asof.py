@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 ARRAY_VERSIONS = 1_000
 
 
+def asof_single(rows: DataFrame, versions: DataFrame, key: str, position: str, at: str) -> DataFrame:
+    """As-of join for keys with one version each: an equi-join that hides versions from earlier rows."""
+    names = [c for c in versions.columns if c != key]
+    old_enough = F.col(position) <= F.col(at)
+    joined = rows.join(versions, key, "left")
+    return joined.select(*rows.columns, *[F.when(old_enough, F.col(n)).alias(n) for n in names])
+
+
 def version_arrays(versions: DataFrame, key: str, position: str) -> DataFrame:
     """One row per key with all its versions in order, as ``versions``."""
     rest = [c for c in versions.columns if c not in (key, position)]

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import grid as G
 from turnstile.functions import messages as M
-from turnstile.functions.asof import ARRAY_VERSIONS, asof_by_array, asof_by_scan
+from turnstile.functions.asof import ARRAY_VERSIONS, asof_by_array, asof_by_scan, asof_single
 from turnstile.functions.records import log_key
 from turnstile.operators.fold import STATE_DDL, fold, new_states, resumed_states
-from turnstile.operators.strategies import STRATEGIES, Strategy, refused, request_key
+from turnstile.operators.strategies import STRATEGIES, Strategy, by_type, refused, request_key
 from turnstile.session import cut_lineage, write_once
 
 # Most candidates of one area that one task folds in one go.
@@ -39,7 +39,7 @@ FOLD_LIMIT = 200_000
 class AreaBounds:
     """Sizes measured on the area table; they decide between plans, never results."""
 
-    areas: int
+    versions: int
     largest: int
 
 
@@ -52,9 +52,10 @@ class RequestBounds:
 
 
 def measure(epochs: DataFrame) -> AreaBounds:
+    """Most creations of one area, and most seats of one."""
     seats = G.capacity(F.col("row_count"), F.col("col_count"))
-    row = epochs.agg(F.count("*"), F.max(seats)).first()
-    return AreaBounds(row[0], row[1] or 0)
+    per_area = epochs.groupBy("event_area_id").agg(F.count("*").alias("n"), F.max(seats).alias("seats"))
+    return AreaBounds(*[value or 0 for value in per_area.agg(F.max("n"), F.max("seats")).first()])
 
 
 def measure_requests(requests: DataFrame, registry: dict[str, Strategy]) -> RequestBounds:
@@ -69,10 +70,10 @@ def measure_requests(requests: DataFrame, registry: dict[str, Strategy]) -> Requ
 def place(requests: DataFrame, epochs: DataFrame, bounds: AreaBounds) -> DataFrame:
     """Add epoch, row_count and col_count: the area as it was when the request came."""
     versions = epochs.select("event_area_id", "epoch", "row_count", "col_count")
-    most = bounds.areas
-    if most > ARRAY_VERSIONS:
-        most = versions.groupBy("event_area_id").count().agg(F.max("count")).first()[0]
-    join = asof_by_array if most <= ARRAY_VERSIONS else asof_by_scan
+    if bounds.versions <= 1:
+        join = asof_single
+    else:
+        join = asof_by_array if bounds.versions <= ARRAY_VERSIONS else asof_by_scan
     return join(requests, versions, "event_area_id", "epoch", "seq")
 
 
@@ -97,18 +98,11 @@ def first_of_each(rows: DataFrame, by: list[str], limit: str, at_most: int) -> D
     )
 
 
-def _by_type(registry: dict[str, Strategy], part: str, otherwise: Column) -> Column:
-    chain = F
-    for name, strategy in registry.items():
-        chain = chain.when(F.col("type") == name, getattr(strategy, part)())
-    return chain.otherwise(otherwise)
-
-
 def contested(placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """The requests that could win seats in an empty area, as fold input plus ``_winners``."""
     return (
         placed.where(F.col("epoch").isNotNull() & F.col("type").isin(*registry))
-        .withColumn("_winners", _by_type(registry, "winners", F.lit(0)))
+        .withColumn("_winners", by_type(registry, "winners", F.lit(0)))
         .where(F.col("_winners") > 0)
         .select(
             "event_area_id", "epoch", "row_count", "col_count",
@@ -119,7 +113,7 @@ def contested(placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
 
 def candidates(pool: DataFrame, registry: dict[str, Strategy], bounds: AreaBounds) -> DataFrame:
     """Of the contested requests, those that may still win given all their earlier rivals."""
-    ranked = pool.withColumn("_rivals", _by_type(registry, "rivals", F.lit(None)))
+    ranked = pool.withColumn("_rivals", by_type(registry, "rivals", F.lit(None)))
     by = ["event_area_id", "epoch", "type", "_rivals"]
     return first_of_each(ranked, by, "_winners", max(bounds.largest, 1)).drop("_rivals")
 
@@ -161,7 +155,7 @@ def _fold_in_rounds(
             pool.join(ends, area)
             .where(request_key() > F.col("_end"))
             .join(states.select(*area, "grid", "col_count"), area)
-            .where(_by_type(registry, "alive", F.lit(True)))
+            .where(by_type(registry, "alive", F.lit(True)))
             .select(*pool.columns)
         )
         if pool.isEmpty():
@@ -201,12 +195,12 @@ def refusal_of(registry: dict[str, Strategy], area_known: Column) -> Column:
 
     Uses ``_cells``, the cells it won or null, and the columns of ``Strategy.refusal``.
     """
-    chain = F.when(~area_known, refused("INVALID_EVENT_AREA", M.NO_SUCH_AREA, F.col("event_area_id"))).when(
-        F.col("_cells").isNotNull(), None
+    no_strategy = refused("INVALID_ARGUMENT", M.NO_STRATEGY, F.col("type"))
+    return (
+        F.when(~area_known, refused("INVALID_EVENT_AREA", M.NO_SUCH_AREA, F.col("event_area_id")))
+        .when(F.col("_cells").isNotNull(), None)
+        .otherwise(by_type(registry, "refusal", no_strategy))
     )
-    for name, strategy in registry.items():
-        chain = chain.when(F.col("type") == name, strategy.refusal())
-    return chain.otherwise(refused("INVALID_ARGUMENT", M.NO_STRATEGY, F.col("type")))
 
 
 def cells_to_seats(cells: Column, col_count: Column) -> Column:

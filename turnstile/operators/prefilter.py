@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import messages as M
 from turnstile.operators.projections import new_reservations
-from turnstile.operators.strategies import STRATEGIES, Strategy
+from turnstile.operators.strategies import STRATEGIES, Strategy, by_type
 from turnstile.operators.tables import SNAPSHOT_AREAS, most_recent
 
 _SNAPSHOT = ("row_count", "col_count", "available_seats", "grid")
@@ -30,9 +30,7 @@ def decide(
     keep: int = SNAPSHOT_AREAS,
 ) -> DataFrame:
     """Requests as reservations, PROCESSING or already FAILED."""
-    passes = F
-    for name, strategy in registry.items():
-        passes = passes.when(F.col("type") == name, strategy.passes())
+    passes = by_type(registry, "passes", F.lit(True))
     reason = (
         F.when(F.col("row_count").isNull(), "")
         .when(~F.col("type").isin(*registry), F.format_string(M.TYPE_NOT_SUPPORTED, F.col("type")))

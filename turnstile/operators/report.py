@@ -106,13 +106,9 @@ def selectivity(decisions: DataFrame) -> DataFrame:
 def key_skew(requests: DataFrame, key: str, top: int = 10) -> DataFrame:
     """The ``top`` keys by load with their share of all requests."""
     counts = requests.groupBy(key).agg(F.count("*").alias("requests"))
-    total = counts.agg(F.sum("requests").alias("_all"))
-    return (
-        counts.join(F.broadcast(total))
-        .select(key, "requests", F.round(F.col("requests") / F.col("_all"), 6).alias("share"))
-        .orderBy(F.col("requests").desc(), key)
-        .limit(top)
-    )
+    total = requests.agg(F.count("*")).scalar()
+    busiest = counts.orderBy(F.col("requests").desc(), key).limit(top)
+    return busiest.withColumn("share", F.round(F.col("requests") / total, 6))
 
 
 # --- latencies ----------------------------------------------------------------------------
@@ -247,12 +243,12 @@ def rounds_average(times: DataFrame) -> DataFrame:
 
 def config_delta(times: DataFrame, baseline: str) -> DataFrame:
     """Mean response time per configuration and its change against a baseline, in percent."""
+    base = times.where(F.col("config") == baseline).agg(F.avg(response_ms())).scalar()
     per_config = times.groupBy("config").agg(F.avg(response_ms()).alias("avg_ms"))
-    base = per_config.where(F.col("config") == baseline).select(F.col("avg_ms").alias("_base"))
-    return per_config.join(F.broadcast(base)).select(
+    return per_config.select(
         "config",
         F.round("avg_ms", 6).alias("avg_ms"),
-        F.round((F.col("avg_ms") - F.col("_base")) / F.col("_base") * 100, 4).alias("delta_pct"),
+        F.round((F.col("avg_ms") - base) / base * 100, 4).alias("delta_pct"),
     )
 
 

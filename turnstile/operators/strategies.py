@@ -55,6 +55,15 @@ def refused(code: str, template: str, *args: Column) -> Column:
     )
 
 
+def by_type(registry: dict[str, Strategy], part: str, otherwise: Column) -> Column:
+    """One column factory of every strategy, chosen by request type."""
+    cases = [(F.col("type") == name, getattr(strategy, part)()) for name, strategy in registry.items()]
+    chosen = F.when(*cases[0])
+    for case in cases[1:]:
+        chosen = chosen.when(*case)
+    return chosen.otherwise(otherwise)
+
+
 def request_key() -> Column:
     return log_key(F.col("seq"), F.col("reservation_id"))
 
