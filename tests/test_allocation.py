@@ -228,3 +228,14 @@ def test_third_strategy(spark):
     assert results["r1"] == ("SUCCESS", [(1, 1)], None, None)
     assert results["r2"] == ("FAILED", None, "NOT_AVAILABLE", "corner is gone")
     assert results["r3"] == ("SUCCESS", [(0, 0), (0, 1)], None, None)
+
+
+def test_many_recreations_take_the_stretch_join(spark, monkeypatch):
+    from turnstile.operators import allocate as module
+
+    monkeypatch.setattr(module, "ARRAY_VERSIONS", 2)
+    areas, log = random_log(11, versions=6)
+    results, finals = run(spark, areas, log)
+    expected, final = naive(areas, log)
+    assert results == expected
+    assert finals == final

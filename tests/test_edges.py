@@ -4,7 +4,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from turnstile.functions.asof import asof_by_array, asof_by_scan
+from turnstile.functions.asof import asof_by_array, asof_by_stretch, asof_single
 from turnstile.operators import report
 from turnstile.sources import ingest, logs
 
@@ -20,7 +20,16 @@ def test_asof_joins_agree_with_brute_force(spark):
         past = [p for k, p in versions if k == key and p <= at]
         expected[i] = f"{key}{max(past)}" if past else None
     assert {x["id"]: x["v"] for x in asof_by_array(r, v, "k", "pos", "at").collect()} == expected
-    assert {x["id"]: x["v"] for x in asof_by_scan(r, v, "k", "pos", "at", width=16).collect()} == expected
+    for width in (1, 16, None):
+        got = asof_by_stretch(r, v, "k", "pos", "at", width=width)
+        assert {x["id"]: x["v"] for x in got.collect()} == expected
+
+
+def test_single_version_hides_later_areas(spark):
+    v = spark.createDataFrame([("a", 5, "x")], "k string, pos bigint, v string")
+    r = spark.createDataFrame([(1, "a", 4), (2, "a", 5), (3, "b", 9)], "id int, k string, at bigint")
+    got = {x["id"]: x["v"] for x in asof_single(r, v, "k", "pos", "at").collect()}
+    assert got == {1: None, 2: "x", 3: None}
 
 
 def test_json_requests(spark):

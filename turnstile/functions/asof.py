@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Most versions of one key that are worth carrying along as one array.
 ARRAY_VERSIONS = 1_000
+# Most stretches one key's log is cut into.
+STRETCHES = 100_000
 
 
 def asof_single(rows: DataFrame, versions: DataFrame, key: str, position: str, at: str) -> DataFrame:
@@ -37,44 +39,37 @@ def asof_by_array(rows: DataFrame, versions: DataFrame, key: str, position: str,
     return joined.select(*rows.columns, *[F.col("_version")[n].alias(n) for n in names])
 
 
-def asof_by_scan(
-    rows: DataFrame, versions: DataFrame, key: str, position: str, at: str, width: int = 1 << 16
+def asof_by_stretch(
+    rows: DataFrame, versions: DataFrame, key: str, position: str, at: str, width: int | None = None
 ) -> DataFrame:
-    """As-of join for keys with any number of versions, in bounded groups.
+    """As-of join for keys with any number of versions.
 
-    Each key's log is cut into stretches of ``width`` positions.  A stretch is
-    scanned on its own; what was valid when it began comes from a second scan
-    over one row per stretch.
+    Each key's log is cut into at most ``STRETCHES`` stretches of ``width``
+    positions.  A row meets the versions of its own stretch, and the last
+    version before it, in one equi-join; Spark splits that join where a key is
+    hot.
     """
-    names = [c for c in versions.columns if c != key]
-    stretch = lambda c: F.floor(F.col(c) / width)
-    version = F.struct(*names)
-    marked = versions.select(key, stretch(position).alias("_stretch"), F.col(position).alias("_at"), version.alias("_version"))
+    low, high = versions.agg(F.min(position), F.max(position)).first()
+    width = width or max(ARRAY_VERSIONS, (high - low) // STRETCHES + 1)
+    last = (high - low) // width + 1
 
-    ends = marked.groupBy(key, "_stretch").agg(F.max("_version").alias("_end"))
-    stretches = (
-        rows.select(key, stretch(at).alias("_stretch")).distinct()
-        .join(ends, [key, "_stretch"], "full")
-    )
-    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = stretches.select(key, "_stretch", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    def stretch(c: str):
+        return F.greatest(F.lit(-1), F.least(F.lit(last), F.floor((F.col(c) - low) / width)))
 
-    tagged = rows.select(
-        key, stretch(at).alias("_stretch"), F.col(at).alias("_at"), F.struct(*rows.columns).alias("_row")
-    ).unionByName(marked, allowMissingColumns=True)
-    # Versions sort ahead of rows at the same position.
-    within = (
-        Window.partitionBy(key, "_stretch")
-        .orderBy("_at", F.col("_row").isNotNull())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    scanned = (
-        tagged.withColumn("_version", F.last("_version", ignorenulls=True).over(within))
-        .where(F.col("_row").isNotNull())
-        .join(carried, [key, "_stretch"], "left")
-        .withColumn("_version", F.coalesce("_version", "_carried"))
+    names = [c for c in versions.columns if c != key]
+    arrays = (
+        versions.withColumn("_stretch", stretch(position))
+        .groupBy(key, "_stretch")
+        .agg(F.array_sort(F.collect_list(F.struct(position, *[n for n in names if n != position]))).alias("versions"))
     )
-    return scanned.select(
-        *[F.col("_row")[c].alias(c) for c in rows.columns],
-        *[F.col("_version")[n].alias(n) for n in names],
+    touched = rows.select(key, stretch(at).alias("_stretch")).distinct().join(arrays, [key, "_stretch"], "full")
+    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.get("versions", F.size("versions") - 1)
+    stretches = touched.withColumn("_carried", F.last(newest, ignorenulls=True).over(before))
+    seen = F.filter("versions", lambda v: v[position] <= F.col(at))
+    joined = (
+        rows.withColumn("_stretch", stretch(at))
+        .join(stretches, [key, "_stretch"], "left")
+        .withColumn("_version", F.coalesce(F.get(seen, F.size(seen) - 1), F.col("_carried")))
     )
+    return joined.select(*rows.columns, *[F.col("_version")[n].alias(n) for n in names])

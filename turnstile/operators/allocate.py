@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import grid as G
 from turnstile.functions import messages as M
-from turnstile.functions.asof import ARRAY_VERSIONS, asof_by_array, asof_by_scan, asof_single
+from turnstile.functions.asof import ARRAY_VERSIONS, asof_by_array, asof_by_stretch, asof_single
 from turnstile.functions.records import log_key
 from turnstile.operators.fold import STATE_DDL, fold, new_states, resumed_states
 from turnstile.operators.strategies import STRATEGIES, Strategy, by_type, refused, request_key
@@ -73,7 +73,7 @@ def place(requests: DataFrame, epochs: DataFrame, bounds: AreaBounds) -> DataFra
     if bounds.versions <= 1:
         join = asof_single
     else:
-        join = asof_by_array if bounds.versions <= ARRAY_VERSIONS else asof_by_scan
+        join = asof_by_array if bounds.versions <= ARRAY_VERSIONS else asof_by_stretch
     return join(requests, versions, "event_area_id", "epoch", "seq")
 
 
@@ -136,9 +136,7 @@ def _log_prefix(pool: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return upto.select(*pool.columns), ends.where(F.col("_end").isNotNull())
 
 
-def _fold_in_rounds(
-    states: DataFrame, pool: DataFrame, registry: dict[str, Strategy], picks: dict, limit: int
-) -> DataFrame:
+def _fold_in_rounds(states: DataFrame, pool: DataFrame, registry: dict[str, Strategy], limit: int) -> DataFrame:
     """Fold about ``limit`` candidates per area at a time.
 
     After each round the candidates that the new grids rule out are dropped, in
@@ -149,7 +147,7 @@ def _fold_in_rounds(
     inputs = states
     while True:
         chunk, ends = _log_prefix(pool, limit)
-        states = cut_lineage(fold(inputs, chunk, picks))
+        states = cut_lineage(fold(inputs, chunk, registry))
         inputs = resumed_states(states)
         pool = cut_lineage(
             pool.join(ends, area)
@@ -178,7 +176,6 @@ def fold_areas(
     rounds.
     """
     pool = contested(placed, registry)
-    picks = {name: strategy.pick for name, strategy in registry.items()}
     if requests.any_type > limit:
         pool = candidates(pool, registry, areas)
     pool = pool.drop("_winners", "row_count", "col_count")
@@ -186,8 +183,8 @@ def fold_areas(
         pool = cut_lineage(pool)
         worst = pool.groupBy("event_area_id", "epoch").count().agg(F.max("count")).first()[0] or 0
         if worst > limit:
-            return _fold_in_rounds(states, pool, registry, picks, limit)
-    return fold(states, pool, picks)
+            return _fold_in_rounds(states, pool, registry, limit)
+    return fold(states, pool, registry)
 
 
 def refusal_of(registry: dict[str, Strategy], area_known: Column) -> Column:
@@ -325,11 +322,13 @@ def allocate(
 
     requests: seq, reservation_id, event_area_id, event_id, area_id, num_of_seats, type, seats, and
         any other columns, which are kept.  active: only these rows take part.
-    areas: seq, event_area_id, row_count, col_count, optionally grid and available_seats.
+    areas: seq, event_area_id, row_count, col_count, optionally grid and available_seats; a creation
+        that was delivered twice counts once.
 
     Runs the fold; the tables read from the returned object are lazy.
     """
     active = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
+    areas = areas.dropDuplicates(["event_area_id", "seq"])
     empty = new_states(areas)
     bounds = measure(empty)
     placed = place(requests, empty, bounds)

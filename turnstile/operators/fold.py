@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions import grid as G
-from turnstile.operators.strategies import FREE, TAKEN
+from turnstile.operators.strategies import FREE, TAKEN, Strategy
 
 KEY = "struct<seq:bigint,id:string>"
 WINS = "array<struct<seq:bigint,id:string,cells:array<int>,available_seats:int>>"
@@ -74,10 +74,17 @@ class AreaFold:
             past = json.loads(row["past"])
             self.taken = [t and (t["seq"], t["id"]) for t in past["taken"]]
             self.wins = past["wins"]
+        self.hopeless = set()
 
-    def request(self, pick, key: tuple, count: int, seats: list) -> None:
+    def request(self, strategy: tuple, key: tuple, count: int, seats: list) -> None:
+        pick, by_count = strategy
+        if by_count and count in self.hopeless:
+            return
         won = pick(self.grid, self.rows, self.cols, count, seats)
         if not won:
+            # What does not fit now never will: a sold-out area is not searched again.
+            if by_count:
+                self.hopeless.add(count)
             return
         cells = mark(self.grid, self.cols, won)
         for cell in cells:
@@ -184,7 +191,7 @@ def resumed_states(states: DataFrame) -> DataFrame:
     return states.withColumn("past", past).drop("taken", "wins")
 
 
-def fold(states: DataFrame, candidates: DataFrame, picks: dict) -> DataFrame:
+def fold(states: DataFrame, candidates: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """Apply candidate requests to area states, in log order within each area.
 
     Every candidate's (event_area_id, epoch) must be present in ``states``.
@@ -197,4 +204,5 @@ def fold(states: DataFrame, candidates: DataFrame, picks: dict) -> DataFrame:
     ordered = rows.repartition("event_area_id", "epoch").sortWithinPartitions(
         "event_area_id", "epoch", "kind", "seq", "reservation_id"
     )
+    picks = {name: (strategy.pick, strategy.bounded) for name, strategy in registry.items()}
     return ordered.mapInArrow(_fold_task(picks), STATE_DDL)

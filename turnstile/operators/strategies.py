@@ -36,7 +36,8 @@ class Strategy:
     refusal: request columns + row_count, col_count and, if ``needs_taken``, taken;
         asked of requests that won no seat, null if such a request succeeds all the same
     alive: request columns + col_count, grid; false only if the grid rules the request out
-    bounded: the area's size alone bounds how many requests ``winners`` lets through
+    bounded: the count alone decides what is asked for, so the area's size bounds how
+        many requests ``winners`` lets through, and a count refused once stays refused
     """
 
     pick: Callable[[bytearray, int, int, int, list], list | None]
