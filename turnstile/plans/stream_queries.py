@@ -41,7 +41,7 @@ class _AllocatorRun:
         self.log = conform(projections.reserve_requests(D.requests(spark, sf)), "reserve_seat")
 
     def feed(self, **how):
-        write_pieces(self.log, self.requests, PIECES, **how)
+        write_pieces(self.log, self.requests, PIECES, "event_area_id", **how)
 
     def run(self, files_per_batch=None):
         events = stream_files(self.spark, self.areas, logs.schema_of(self.spark, "create_event"))
@@ -105,7 +105,7 @@ def stream_small_batches(spark, sf):
 def stream_prefilter(spark, sf):
     base = scratch_path(spark, "intake")
     requests = D.requests(spark, sf)
-    write_pieces(requests, f"{base}/requests", PIECES)
+    write_pieces(requests, f"{base}/requests", PIECES, "event_area_id")
     stream = stream_files(spark, f"{base}/requests", requests.schema, 1)
     snapshot = D.pinned_snapshot(spark, sf)
     run_intake(
@@ -128,8 +128,8 @@ def stream_lifecycle(spark, sf):
         Q._decided(spark, sf).where((F.col("state") == "PROCESSING") & (F.col("seq") % 3 != 0)), "reservation"
     )
     results = conform(Q._results(spark, sf), "reservation_result")
-    write_pieces(created, f"{base}/created", 1)
-    write_pieces(results, f"{base}/results", PIECES)
+    write_pieces(created, f"{base}/created", 1, "reservation_id")
+    write_pieces(results, f"{base}/results", PIECES, "reservation_id")
     updated = lifecycle_stream(
         stream_files(spark, f"{base}/created", created.schema),
         stream_files(spark, f"{base}/results", results.schema, 1),
@@ -146,7 +146,7 @@ def stream_area_latest(spark, sf):
     """Every batch adds the last state of each area it touched; reading merges them."""
     base = scratch_path(spark, "area-latest")
     updates = D.area_updates(spark, sf)
-    write_pieces(updates, f"{base}/updates", PIECES)
+    write_pieces(updates, f"{base}/updates", PIECES, "event_area_id")
     run_to_end(
         stream_files(spark, f"{base}/updates", updates.schema, 1),
         lambda batch, n: logs.write_batch(
@@ -169,7 +169,7 @@ def _closing(log, ts: str):
 def _streamed_with_closing(spark, log, ts, path):
     columns = ["reservation_id", ts, "seq"]
     rows = log.withColumn("seq", F.unix_micros(ts)).select(*columns)
-    write_pieces(rows, path, PIECES)
+    write_pieces(rows, path, PIECES, "reservation_id")
     _closing(rows, ts).select(*columns).write.parquet(f"{path}/last")
     return stream_files(spark, path, rows.schema, 1).drop("seq")
 

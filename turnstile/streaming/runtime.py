@@ -11,6 +11,8 @@ from turnstile.session import stateful_settings
 # Everything that is there, then stop; a long-running job passes processingTime.
 AVAILABLE_NOW = {"availableNow": True}
 
+ROWS_PER_FILE = 1_000_000
+
 
 def start(
     stream: DataFrame,
@@ -47,16 +49,20 @@ def stream_files(spark: SparkSession, path: str, schema, files_per_batch: int |
     return reader.parquet(path)
 
 
-def write_pieces(log: DataFrame, path: str, pieces: int, only: range | None = None, shuffled: bool = False) -> None:
-    """Cut a log by ``seq`` into one file per piece, written in log order.
+def write_pieces(
+    log: DataFrame, path: str, pieces: int, key: str, only: range | None = None, shuffled: bool = False
+) -> None:
+    """Cut a log by ``seq`` into pieces, written in log order.
 
     The file source takes files in order of age, so a later piece is never in an
-    earlier batch.  ``shuffled`` mixes the rows inside each file.
+    earlier batch.  A large piece has several files, split by ``key`` so that
+    each key stays in order.  ``shuffled`` mixes the rows inside each file.
     """
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    low, high, rows = log.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
     width = (high - low) // pieces + 1
+    files = 1 + rows // (pieces * ROWS_PER_FILE)
     numbered = log.withColumn("_piece", F.floor((F.col("seq") - low) / width))
     for piece in only or range(pieces):
-        part = numbered.where(F.col("_piece") == piece).drop("_piece").repartition(1)
+        part = numbered.where(F.col("_piece") == piece).drop("_piece").repartition(files, key)
         order = F.xxhash64("seq") if shuffled else F.col("seq")
         part.sortWithinPartitions(order).write.parquet(f"{path}/{piece:04d}")
