@@ -239,3 +239,11 @@ def test_many_recreations_take_the_stretch_join(spark, monkeypatch):
     expected, final = naive(areas, log)
     assert results == expected
     assert finals == final
+
+
+def test_creation_delivered_twice_counts_once(spark):
+    log = [request(1, "RANDOM", 1), request(2, "SELF_PICK", 0, [(0, 0)]), request(3, "SELF_PICK", 0, [(0, 1)])]
+    allocation = allocate(requests_df(spark, log), areas_df(spark, [area(1, 2), area(1, 2)]))
+    assert allocation.results().count() == 3
+    assert results_by_id(allocation.results()) == naive([area(1, 2)], log)[0]
+    assert allocation.changelog().count() == 3

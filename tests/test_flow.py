@@ -7,7 +7,10 @@ from turnstile.operators.lookup import lookup, lookup_or_wait
 from turnstile.operators.tables import compact_updates, latest_per_key, most_recent, replicated_snapshot
 from turnstile.plans.reservations import reservation_flow
 
-RESULT = "seq bigint, ts timestamp, reservation_id string, result string, seats array<struct<row:int,col:int>>, error_code string, error_message string"
+RESULT = (
+    "seq bigint, ts timestamp, reservation_id string, result string, seats array<struct<row:int,col:int>>, "
+    "error_code string, error_message string"
+)
 
 
 def decided(spark, grid, rows, available=None):

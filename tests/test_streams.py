@@ -1,5 +1,4 @@
 from helpers import area, areas_df, naive, request, requests_df
-from pyspark.sql import functions as F
 
 from turnstile.operators.projections import new_reservations
 from turnstile.schemas import conform
@@ -8,7 +7,10 @@ from turnstile.streaming.allocator import run_allocator
 from turnstile.streaming.lifecycle import lifecycle_stream
 from turnstile.streaming.runtime import run_to_end, stream_files
 
-RESULT = "seq bigint, ts timestamp, reservation_id string, result string, seats array<struct<row:int,col:int>>, error_code string, error_message string"
+RESULT = (
+    "seq bigint, ts timestamp, reservation_id string, result string, seats array<struct<row:int,col:int>>, "
+    "error_code string, error_message string"
+)
 
 
 class Job:

@@ -262,7 +262,8 @@ def dead_letter_states(spark, sf):
 @query
 def request_type_coerced(spark, sf):
     raw = D.raw_requests(spark, sf).withColumn(
-        "sent", F.when(F.col("seq") % 13 == 0, F.lower("type")).when(F.col("seq") % 29 == 0, None).otherwise(F.col("type"))
+        "sent",
+        F.when(F.col("seq") % 13 == 0, F.lower("type")).when(F.col("seq") % 29 == 0, None).otherwise(F.col("type")),
     )
     coerced = projections.normalise_requests(raw.withColumn("type", F.col("sent")))
     return coerced.select("reservation_id", "sent", "type")
@@ -282,10 +283,14 @@ def failure_messages(spark, sf):
 @query
 def event_times(spark, sf):
     definitions = D.create_events(spark, sf).select(
-        F.col("event_name").alias("id"), to_millis(F.col("opening_ts")).alias("millis"), at_millis(F.col("opening_ts")).alias("at_ts")
+        F.col("event_name").alias("id"),
+        to_millis(F.col("opening_ts")).alias("millis"),
+        at_millis(F.col("opening_ts")).alias("at_ts"),
     )
     requested = D.requests(spark, sf).select(
-        F.col("reservation_id").alias("id"), to_millis(F.col("ts")).alias("millis"), at_millis(F.col("ts")).alias("at_ts")
+        F.col("reservation_id").alias("id"),
+        to_millis(F.col("ts")).alias("millis"),
+        at_millis(F.col("ts")).alias("at_ts"),
     )
     return definitions.unionByName(requested)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstile.functions import grid as G
 from turnstile.operators import projections, report, tables
 from turnstile.operators.lifecycle import merge_updates
 from turnstile.plans import queries as Q
