@@ -81,6 +81,9 @@ def with_measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFr
     )
     df = df.withColumn("_llm_order", F.sort_array(windows))
     df = df.withColumn("_llm_hits", _window_hits(col("words"), col("order")))
+    # Optimisers copy a filter's inputs to below the projections, which would sort all windows again for each window. A
+    # column that depends on the partition's number, if only formally, keeps filters on the measures above them.
+    n = F.when(F.spark_partition_id() >= 0, F.size(col("words")))
     less = lambda chars: F.length(col("text")) - F.length(F.translate(col("text"), chars, ""))
     measures = {
         "n_words": n,
