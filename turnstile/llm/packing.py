@@ -15,7 +15,6 @@ an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,17 +23,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from turnstile.llm.text import scratch
+from turnstile.llm.text import scratch, split_at_spaces
 
 MAX_TOKENS = 1024
 END = 2
 PIECES_PER_TASK = 32_768
 OPEN_BINS = 32_768
 TOKENIZER = "byte_bpe_50k.json"
-#: Words whose ids a Python worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 64
-#: A pre-token never begins inside white space but at its last space; these texts have white space of another kind.
-ODD_SPACE = re.compile(r"\s(?= )| (?=\s)| \Z|<\|endoftext\|>")
+#: So many words, the first it meets, have their ids remembered by a Python worker; none longer than that.
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,8 +43,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit words, remembering those of frequent words.
 
-    In a text whose spaces each stand alone, pre-tokens end before every space, so its ids are those of its words, each
-    with the space before it.  Other texts go to the tokenizer as they are.
+    A text that can be cut at its spaces has the ids of its words, each with the space before it.  Other texts go to the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -62,24 +59,20 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         known, cut, odd = self.known, [], []
         new: set[str] = set()
         for text in texts:
-            if ODD_SPACE.search(text):
-                cut.append(None)
-                odd.append(text)
-                continue
-            words = text.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
+            words = split_at_spaces(text)
             cut.append(words)
-            new.update(w for w in words if w not in known)
-        once = {w for w in new if len(w) > LONGEST}
+            if words is None:
+                odd.append(text)
+            else:
+                new.update(w for w in words if w not in known)
         order = list(new)
         fresh = dict(zip(order, self._ids(order)))
         whole = iter(self._ids(odd))
-        known.update((w, ids) for w, ids in fresh.items() if w not in once)
+        if len(known) < REMEMBERED:
+            known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
         out = []
         for words in cut:
             if words is None:
