@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnstile.session import scratch_path
@@ -14,23 +12,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Where a pre-token may go on beyond a space: white space next to it, the end of the text, a special token.
-ODD_SPACE = re.compile(r"\s(?= )| (?=\s)| \Z|<\|endoftext\|>")
-
-
-def split_at_spaces(text: str) -> list[str] | None:
-    """The text cut before every space, if pre-tokens end at all these places; else None.
-
-    Pre-tokens of the public byte-level vocabularies take one space before a word, and reach beyond it only in runs of
-    white space.  The parts repeat much more often than whole texts, so that work on them can be remembered.
-    """
-    if ODD_SPACE.search(text):
-        return None
-    words = text.split(" ")
-    words[1:] = [" " + word for word in words[1:]]
-    return words
-
-
 def whole_text(name: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(name), F.lit(""))

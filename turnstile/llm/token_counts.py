@@ -18,20 +18,17 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from turnstile.llm.text import split_at_spaces
-
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ZIPF_SHIFT = 2.7
 MAX_NODES = 1_000_000
 TRIE_BYTES = 64
-REMEMBERED = 600_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -48,95 +45,76 @@ def read_scores(path: str) -> dict[bytes, float]:
 
 
 class Trie:
-    """Pre-tokens as UTF-8 bytes -> pieces of their best segmentation."""
+    """Pre-tokens as UTF-8 bytes -> pieces of their best segmentation.
+
+    ``nodes`` has each inserted prefix, with the score and the pieces of its best segmentation.
+    """
 
     def __init__(self, scores: dict[bytes, float], max_nodes: int = MAX_NODES, trie_bytes: int = TRIE_BYTES):
-        self.scores, self.max_nodes, self.trie_bytes = scores, max_nodes, trie_bytes
-        self.longest = max(map(len, scores))
-        #: Every suffix of a piece: a run of bytes that is none of them begins no piece that ends there.
-        self.suffixes = {piece[i:] for piece in scores for i in range(len(piece))}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.children: dict[int, int] = {}
-        self.score, self.pieces = [0.0], [0]
-
-    def _forward(self, word: bytes, end: int, score: list[float], pieces: list[int], first: int) -> tuple[float, int]:
-        """Best score and its pieces at ``end``; ``score[i]`` is for the prefix of ``first + i`` bytes."""
-        best, fewest = -math.inf, 0
-        for start in range(end - 1, max(first, end - self.longest) - 1, -1):
-            piece = word[start:end]
-            if piece not in self.suffixes:
-                break
-            if piece in self.scores:
-                total, n = score[start - first] + self.scores[piece], pieces[start - first] + 1
-                if total > best or (total == best and n < fewest):
-                    best, fewest = total, n
-        return best, fewest
+        self.max_nodes, self.trie_bytes, self.longest = max_nodes, trie_bytes, max(map(len, scores))
+        #: Every suffix of a piece; its score if it is a piece.  What is no suffix ends no piece.
+        self.suffixes = {piece[i:]: scores.get(piece[i:]) for piece in scores for i in range(len(piece))}
+        self.nodes = {b"": (0.0, 0)}
 
     def count(self, word: bytes) -> int:
         if len(word) > self.trie_bytes:
             return self._count_alone(word)
-        if len(self.score) > self.max_nodes:
-            self._clear()
-        node, score, pieces = 0, [0.0], [0]
-        for end in range(1, len(word) + 1):
-            edge = node << 8 | word[end - 1]
-            node = self.children.get(edge, 0)
-            if not node:
-                best, fewest = self._forward(word, end, score, pieces, 0)
-                node = self.children[edge] = len(self.score)
-                self.score.append(best)
-                self.pieces.append(fewest)
-            score.append(self.score[node])
-            pieces.append(self.pieces[node])
-        return pieces[-1]
+        nodes, suffixes = self.nodes, self.suffixes
+        if word not in nodes and len(nodes) > self.max_nodes:
+            self.nodes = nodes = {b"": (0.0, 0)}
+        known = len(word)
+        while word[:known] not in nodes:
+            known -= 1
+        for end in range(known + 1, len(word) + 1):
+            best, fewest = -math.inf, 0
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                if piece not in suffixes:
+                    break
+                own = suffixes[piece]
+                if own is not None:
+                    score, pieces = nodes[word[:start]]
+                    score += own
+                    if score > best or (score == best and pieces + 1 < fewest):
+                        best, fewest = score, pieces + 1
+            nodes[word[:end]] = (best, fewest)
+        return nodes[word][1]
 
     def _count_alone(self, word: bytes) -> int:
-        score, pieces, first = [0.0], [0], 0
+        """As ``count``, holding no more scores than the longest piece needs, and none afterwards."""
+        held = deque([(0.0, 0)], maxlen=self.longest)
         for end in range(1, len(word) + 1):
-            best, fewest = self._forward(word, end, score, pieces, first)
-            score.append(best)
-            pieces.append(fewest)
-            if len(score) > 8 * self.longest:  # only the last scores are read again
-                drop = len(score) - self.longest
-                score, pieces, first = score[drop:], pieces[drop:], first + drop
-        return pieces[-1]
-
-
-class Counts(dict):
-    """Part of a text -> (its pre-tokens, their pieces); the first ``REMEMBERED`` parts that a worker meets."""
-
-    def __init__(self, trie: Trie, pattern: str):
-        super().__init__()
-        self.trie, self.cut = trie, regex.compile(pattern)
-
-    def __missing__(self, part: str) -> tuple[int, int]:
-        found = self.cut.findall(part)
-        counts = len(found), sum(self.trie.count(token.encode()) for token in found)
-        if len(part) <= self.trie.trie_bytes and len(self) < REMEMBERED:
-            self[part] = counts
-        return counts
-
-    def of(self, text: str) -> tuple[int, int]:
-        parts = Counter(split_at_spaces(text) or self.cut.findall(text)) if text else {}
-        each = [(n, *self[part]) for part, n in parts.items()]
-        return sum(n * a for n, a, _ in each), sum(n * b for n, _, b in each)
+            best, fewest = -math.inf, 0
+            for back in range(1, len(held) + 1):
+                piece = word[end - back : end]
+                if piece not in self.suffixes:
+                    break
+                own = self.suffixes[piece]
+                if own is not None:
+                    score, pieces = held[-back]
+                    score += own
+                    if score > best or (score == best and pieces + 1 < fewest):
+                        best, fewest = score, pieces + 1
+            held.append((best, fewest))
+        return held[-1][1]
 
 
-_counts: dict[tuple[str, str], Counts] = {}
+_tries: dict[str, Trie] = {}
 
 
 def _count(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _counts:
-            _counts[path, pattern] = Counts(Trie(read_scores(path)), pattern)
-        known = _counts[path, pattern]
+        if path not in _tries:
+            _tries[path] = Trie(read_scores(path))
+        trie, cut = _tries[path], regex.compile(pattern)
         for batch in batches:
-            found = [known.of(t) for t in batch.column("_llm_text").to_pylist()]
-            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(2)]
-            names = ["doc_id", "n_pretokens", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
+            pretokens, tokens = [], []
+            for text in batch.column("_llm_text"):
+                found = Counter(cut.findall(text.as_py() or ""))
+                pretokens.append(found.total())
+                tokens.append(sum(n * trie.count(word.encode()) for word, n in found.items()))
+            columns = [batch.column("doc_id"), pa.array(pretokens, pa.int64()), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pretokens", "n_tokens"])
 
     return run
 
