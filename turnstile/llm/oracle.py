@@ -2,4 +2,114 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+QUALITY = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda l: length(translate(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0) AS lines
+  FROM documents
+), numbered AS (SELECT row_number() OVER () AS r, * FROM t),
+windows AS (
+  SELECT r, i, words[i : i + 2] AS w
+  FROM numbered, unnest(range(1, greatest(len(words) - 1, 1))) AS u(i)
+), often AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM often, unnest([0, 1, 2]) AS u(k) GROUP BY r
+), m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         len(lines) AS n_lines,
+         length(text) - length(translate(text, '!', '')) AS n_exclaims,
+         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper
+  FROM numbered LEFT JOIN covered USING (r)
+), b AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_exclaims > n_words THEN 16 ELSE 0 END
+    + CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN word_chars > 15 * n_words THEN 128 ELSE 0 END)::BIGINT AS fail_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits
+FROM b
+"""
+
+EXACT = r"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
+FROM t
+"""
+
+#: Every block's quotient is made and ranked here; the operator ranks only those near the cut.
+MIX = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS digest
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+), level AS (
+  SELECT max(l) AS l FROM (
+    SELECT (1.5 * (SELECT sum(source_size) FROM s)
+            - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l,
+           2 * source_size / weight AS top
+    FROM s WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)
+  ) WHERE l < top
+), t AS (
+  SELECT s.*, CASE WHEN l IS NULL OR 2 * source_size <= weight * l THEN (2 * source_size)::DOUBLE ELSE weight * l END AS target
+  FROM s, level
+), total AS (SELECT round(sum(target) / 128)::BIGINT AS blocks FROM t),
+source_quotients AS (
+  SELECT source, target / (2 * k - 1) AS q, k FROM t, total, unnest(range(1, blocks + 1)) AS u(k) WHERE target > 0
+), source_quota AS (
+  SELECT source, count(*) AS quota
+  FROM (SELECT source, row_number() OVER (ORDER BY q DESC, source NULLS LAST, k) AS place FROM source_quotients), total
+  WHERE place <= blocks GROUP BY source
+), dealt AS (
+  SELECT d.*, ('0x' || substr(digest, 1, 8))::BIGINT % ceil(n_docs / 1000)::BIGINT AS shard, source_size, target
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), shard AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM dealt GROUP BY ALL),
+shard_quotients AS (
+  SELECT h.source, shard, quota, shard_size / (2 * k - 1) AS q, k
+  FROM shard h JOIN source_quota z ON h.source IS NOT DISTINCT FROM z.source, unnest(range(1, quota + 1)) AS u(k)
+  WHERE shard_size > 0
+), shard_quota AS (
+  SELECT source, shard, count(*) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) AS place FROM shard_quotients
+  ) WHERE place <= quota GROUP BY ALL
+), w AS (
+  SELECT h.source, h.shard, shard_size, least(coalesce(n, 0) * 128, 2 * shard_size)::BIGINT AS words
+  FROM shard h LEFT JOIN shard_quota z ON h.source IS NOT DISTINCT FROM z.source AND h.shard = z.shard
+), placed AS (
+  SELECT dealt.*, shard_size, words,
+         CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS rounds,
+         sum(size) OVER (PARTITION BY dealt.source, dealt.shard ORDER BY digest, doc_id, size, r
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ends
+  FROM dealt JOIN w ON dealt.source IS NOT DISTINCT FROM w.source AND dealt.shard = w.shard
+)
+SELECT doc_id, size, source_size, target,
+       (rounds * size + least(size, greatest(0, words - rounds * shard_size - (ends - size))))::BIGINT AS taken
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": QUALITY,
+    "op9_source_mix": MIX,
+    "op10_exact_dedup": EXACT,
+}
