@@ -300,11 +300,24 @@ SELECT seq, 'accepted' AS status,
 FROM (SELECT *, sha256(seq || chr(1) || value) AS h FROM sent WHERE seq % 97 <> 0)
 UNION ALL
 SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sent WHERE seq % 97 = 0""",
+    "ingest_json_events": """
+SELECT o_orderkey::BIGINT AS seq, o_orderkey::VARCHAR AS event_name,
+       CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey::VARCHAR ELSE '' END AS artist,
+       o_orderdate::TIMESTAMP + INTERVAL 123 MILLISECOND AS opening_ts, true AS no_closing, coalesce((
+         SELECT string_agg(l_linenumber || ':' || CASE WHEN l_linenumber <> 2 THEN l_partkey ELSE 0 END || ':'
+                           || (1 + l_suppkey % 9) || ':' || (1 + l_partkey % 7), ',' ORDER BY l_linenumber::VARCHAR, CASE WHEN l_linenumber <> 2 THEN l_partkey END NULLS FIRST,
+                                          l_suppkey % 9, l_partkey % 7)
+         FROM lineitem WHERE l_orderkey = o_orderkey), '') AS areas
+FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 97 <> 0""",
+    "asof_many_versions": """
+WITH v AS (SELECT l_suppkey, l_orderkey::BIGINT AS since, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY ALL)
+SELECT r.l_suppkey, r.l_partkey, r.l_linenumber, (r.l_orderkey - 3)::BIGINT AS at, v.since, v.lines
+FROM lineitem r ASOF LEFT JOIN v ON v.l_suppkey = r.l_suppkey AND v.since <= r.l_orderkey - 3""",
     "typed_roundtrip": ctes(*BASE) + f"SELECT {REQUEST_COLUMNS} FROM req",
     # projections
     "event_areas": ctes(AREAS) + "SELECT event_area_id, event_id, area_id, price, row_count, col_count FROM areas",
     "area_status_init": ctes(AREAS) + "SELECT event_area_id, row_count, col_count, available_seats, grid FROM init",
-    "seat_rows": ctes(AREAS, PINNED) + """
+    "seat_rows": ctes(AREAS, PINNED.replace(" WHERE nation % 7 <> 6", "")) + """
 SELECT event_area_id, r::INTEGER AS row, c::INTEGER AS col, substr(grid, r * (col_count + 1) + c + 1, 1) = '1' AS is_available
 FROM (SELECT *, unnest(range(0, row_count)) AS r FROM snap), LATERAL (SELECT unnest(range(0, col_count)) AS c)""",
     "event_area_key": ctes(*BASE) + "SELECT reservation_id, event_area_id FROM req",
@@ -352,7 +365,7 @@ SELECT d.reservation_id, d.user_id, d.event_id, d.area_id, d.num_of_seats, d.typ
        {seats_text("CASE WHEN x.result = 'SUCCESS' THEN x.won ELSE d.seats END")} AS seats,
        CASE WHEN x.result = 'SUCCESS' THEN '' ELSE '[' || x.error_code || ']: ' || x.error_message END AS failed_reason
 FROM decided2 d JOIN results x ON x.reservation_id = d.reservation_id
-WHERE d.state = 'PROCESSING' AND d.seq % 3 <> 0""",
+WHERE d.state = 'PROCESSING'""",
     "reservation_updates": ctes(*FLOW) + f"""
 SELECT reservation_id, user_id, event_id, area_id, num_of_seats, type, state, {seats_text()} AS seats, failed_reason
 FROM decided
@@ -382,6 +395,14 @@ FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY event_area_id ORDE
         "mixed AS (SELECT * REPLACE (CASE WHEN type = 'RANDOM' AND seq % 2 = 0 THEN 'BACK_ROW' ELSE type END AS type) FROM req)",
         walk("mixed", back_row=True),
     ) + f"SELECT {FOLD_COLUMNS} FROM results",
+    "strategy_extension_flow": ctes(
+        AREAS, REQ,
+        "mixed AS (SELECT * REPLACE (CASE WHEN type = 'RANDOM' AND seq % 2 = 0 THEN 'BACK_ROW' ELSE type END AS type) FROM req)",
+        walk("mixed", back_row=True),
+    ) + f"""
+SELECT m.reservation_id, m.type, CASE WHEN x.result = 'SUCCESS' THEN 'RESERVED' ELSE 'FAILED' END AS state,
+       {seats_text("CASE WHEN x.result = 'SUCCESS' THEN x.won ELSE m.seats END")} AS seats
+FROM mixed m JOIN results x ON x.reservation_id = m.reservation_id""",
     # reports
     "outcome_counts": ctes(*FLOW, TIMES) + """
 SELECT count(*) FILTER (post_status = 200 AND state = 'RESERVED') AS successful,
@@ -407,6 +428,9 @@ FROM twice GROUP BY ALL HAVING count(*) > 1""",
         for name, column in (("processing", "response_ms"), ("latency", "response_ms + round"))
         for label, point in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
     ) + " FROM times WHERE post_status = 200",
+    "latency_percentiles_rank": ctes(TIMES) + """
+SELECT measure, point, (SELECT count(*) FROM times WHERE post_status = 200) AS calls, true AS within_bound
+FROM (VALUES ('processing'), ('latency')) AS m(measure), (VALUES ('p50'), ('p95'), ('p99')) AS p(point)""",
     "check_rate_trend": ctes(TIMES) + """
 SELECT checks, checks_passed, round(checks_passed / checks, 6) AS check_rate, completed, round(avg_ms, 6) AS avg_ms,
        min_ms, round(med_ms, 6) AS med_ms, max_ms, round(p90_ms, 6) AS p90_ms, round(p95_ms, 6) AS p95_ms
@@ -427,11 +451,11 @@ emptied AS (
   WHERE w.code IS NULL AND w.available_seats <= 0 GROUP BY w.event_area_id),
 started AS (SELECT event_id, min(ts) AS first_request_ts FROM req GROUP BY event_id)
 SELECT *, floor((epoch_us(sold_out_ts) - epoch_us(first_request_ts)) / 1000)::BIGINT AS sold_out_ms FROM (
-  SELECT a.event_id, count(*) AS areas, count(e.sold_out_ts) AS areas_sold_out,
+  SELECT a.event_id AS event_id, count(*) AS areas, count(e.sold_out_ts) AS areas_sold_out,
          CASE WHEN count(*) = count(e.sold_out_ts) THEN max(e.sold_out_ts) END AS sold_out_ts,
-         any_value(s.first_request_ts) AS first_request_ts
+         min(s.first_request_ts) AS first_request_ts
   FROM areas a JOIN started s ON s.event_id = a.event_id LEFT JOIN emptied e ON e.event_area_id = a.event_area_id
-  GROUP BY a.event_id)""",
+  GROUP BY ROLLUP (a.event_id))""",
     "prefilter_selectivity": ctes(*PIN) + """
 SELECT event_id, count(*) AS requests, count(*) FILTER (state = 'PROCESSING') AS passed,
        round(count(*) FILTER (state = 'PROCESSING') / count(*), 6) AS passed_share
@@ -481,3 +505,7 @@ for _name in ("stream_reserve_seats", "stream_restart", "stream_order_by_seq", "
     ORACLES[_name] = ORACLES["reserve_seats"]
 ORACLES["stream_area_changelog"] = ORACLES["area_status_changelog"]
 ORACLES["stream_lifecycle"] = ORACLES["apply_results"]
+ORACLES["stream_reservation_flow"] = ctes(*FLOW) + f"SELECT reservation_id, state, {seats_text()} AS seats FROM final"
+ORACLES["stream_early_rejection"] = ctes(*FLOW) + """
+SELECT count(*) AS requests, count(*) FILTER (state = 'RESERVED') AS reserved, true AS some_rejected_early,
+       0::BIGINT AS rejected_and_reserved FROM final"""

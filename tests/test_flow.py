@@ -62,6 +62,12 @@ def test_snapshot_is_bounded_and_misses_pass(spark):
     assert replicated_snapshot(areas, 3).count() == 3
 
 
+def test_snapshot_of_any_number_of_areas(spark):
+    areas = projections.area_status(areas_df(spark, [area(1, 1, seq=i, name=str(i)) for i in range(1001)]))
+    rows = [request(2000 + i, "RANDOM", 2, area=str(i)) for i in range(1001)]
+    assert prefilter.decide(requests_df(spark, rows), areas).where("state = 'FAILED'").count() == 1001
+
+
 def reservations(spark, rows):
     return projections.new_reservations(requests_df(spark, rows)).drop("event_area_id")
 

@@ -1,11 +1,18 @@
+import datetime as dt
+import glob
+import os
+
 from helpers import area, areas_df, naive, request, requests_df
+from pyspark.sql import functions as F
 
+from turnstile.operators.lookup import lookup_or_wait
 from turnstile.operators.projections import new_reservations
 from turnstile.schemas import conform
 from turnstile.sources import logs
-from turnstile.streaming.allocator import run_allocator
+from turnstile.streaming.allocator import run_allocator, run_flow
 from turnstile.streaming.lifecycle import lifecycle_stream
 from turnstile.streaming.runtime import run_to_end, stream_files
+from turnstile.streaming.waiting import lookup_or_wait_stream
 
 RESULT = (
     "seq bigint, ts timestamp, reservation_id string, result string, seats array<struct<row:int,col:int>>, "
@@ -26,7 +33,7 @@ class Job:
         areas = stream_files(self.spark, f"{self.path}/areas", areas_df(self.spark, []).schema)
         requests = stream_files(self.spark, f"{self.path}/requests", requests_df(self.spark, []).schema)
         run_allocator(
-            areas, requests, f"{self.path}/results", f"{self.path}/changes", f"{self.path}/checkpoint", partitions=2
+            areas, requests, f"{self.path}/results", f"{self.path}/changes", f"{self.path}/states", f"{self.path}/checkpoint"
         )
 
     def results(self):
@@ -87,3 +94,75 @@ def test_lifecycle_overwrites_and_drops(spark, tmp_path):
         ("r1", "RESERVED", [(3, 4)], ""),
         ("r2", "FAILED", [(0, 0)], "[INVALID_SEAT]: no"),
     ]
+
+
+def test_a_hot_area_and_bad_rows_in_one_batch(spark, tmp_path):
+    log = [request(i, "RANDOM", 1 + i % 3) for i in range(1, 300)]
+    job = Job(spark, tmp_path)
+    job.add([area(3, 5)], log + [request(400, "RANDOM", None), request(401, "SELF_PICK", 0, [(0, 0)])])
+    path = f"{tmp_path}/requests/bad"
+    odd = requests_df(spark, [request(402, "SELF_PICK"), request(403, "SELF_PICK", 0, [(9, 9)])])
+    odd.withColumn("seats", F.when(F.col("seq") == 403, F.col("seats"))).write.parquet(path)
+    job.run()
+    expected, _ = naive([area(3, 5)], log + [request(400, "RANDOM", 0), request(401, "SELF_PICK", 0, [(0, 0)])])
+    got = job.results()
+    assert {k: v for k, v in got.items() if k in expected} == expected
+    assert got["r402"] == ("SUCCESS", [], None, None) and got["r403"][2] == "INVALID_SEAT"
+
+
+def test_a_replayed_batch_changes_nothing_downstream(spark, tmp_path):
+    """The job ends between its sinks and its commit; a stream over the results reads each row once."""
+    job = Job(spark, tmp_path)
+    job.add([area(2, 2)], [request(1, "RANDOM", 1), request(2, "RANDOM", 2)])
+    job.run()
+
+    def follow():
+        results = stream_files(spark, f"{tmp_path}/results", spark.read.parquet(f"{tmp_path}/results").drop("batch").schema)
+        run_to_end(results, lambda b, n: logs.write_batch(b, f"{tmp_path}/follow", n), f"{tmp_path}/follow-checkpoint")
+        return sorted(r["reservation_id"] for r in logs.read_batches(spark, f"{tmp_path}/follow").collect())
+
+    before = job.results()
+    assert follow() == ["r1", "r2"]
+    for commit in glob.glob(f"{tmp_path}/checkpoint/commits/*") + glob.glob(f"{tmp_path}/checkpoint/commits/.*.crc"):
+        os.remove(commit)
+    job.run()
+    assert job.results() == before
+    assert follow() == ["r1", "r2"]
+
+
+def test_waiting_lookups_answer_once_from_outcomes_of_any_age(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    outcomes = [("a", at(95)), ("a", at(105)), ("b", at(10)), ("c", at(120)), ("d", at(108)), ("z", at(9000))]
+    asks = [("a", at(100)), ("b", at(100)), ("b", at(100)), ("c", at(100)), ("d", at(100)), ("e", at(100)), ("z", at(9000))]
+    frames = {
+        "asks": spark.createDataFrame(asks, "reservation_id string, ask_ts timestamp"),
+        "outcomes": spark.createDataFrame(outcomes, "reservation_id string, outcome_ts timestamp"),
+    }
+    for name, frame in frames.items():
+        frame.write.parquet(f"{tmp_path}/{name}")
+    streams = [stream_files(spark, f"{tmp_path}/{name}", frame.schema) for name, frame in frames.items()]
+    run_to_end(
+        lookup_or_wait_stream(*streams), lambda b, n: logs.write_batch(b, f"{tmp_path}/answers", n),
+        f"{tmp_path}/checkpoint", partitions=2,
+    )
+    got = logs.read_batches(spark, f"{tmp_path}/answers").drop("batch").where("reservation_id <> 'z'").collect()
+    expected = lookup_or_wait(frames["asks"], frames["outcomes"]).where("reservation_id <> 'z'")
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, expected.select(*got[0].asDict()).collect()), key=repr)
+    assert len(got) == 6
+
+
+def test_flow_rejects_early_what_earlier_batches_sold_out(spark, tmp_path):
+    base = str(tmp_path)
+    batches = [[request(1, "RANDOM", 2), request(2, "RANDOM", 3)], [request(3, "RANDOM", 2), request(4, "RANDOM", 1)]]
+    areas_df(spark, [area(1, 3)]).write.parquet(f"{base}/areas/1")
+    for n, log in enumerate(batches):
+        requests_df(spark, log).repartition(1).write.parquet(f"{base}/requests/{n}")
+        streams = [
+            stream_files(spark, f"{base}/{name}", empty.schema)
+            for name, empty in (("areas", areas_df(spark, [])), ("requests", requests_df(spark, [])))
+        ]
+        run_flow(*streams, f"{base}/final", f"{base}/changes", f"{base}/states", f"{base}/checkpoint")
+    got = {r["reservation_id"]: r for r in logs.read_batches(spark, f"{base}/final").collect()}
+    assert {k: (r["state"], r["admitted"]) for k, r in got.items()} == {
+        "r1": ("RESERVED", True), "r2": ("FAILED", True), "r3": ("FAILED", False), "r4": ("RESERVED", True)
+    }

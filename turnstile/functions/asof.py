@@ -5,71 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Most versions of one key that are worth carrying along as one array.
-ARRAY_VERSIONS = 1_000
-# Most stretches one key's log is cut into.
-STRETCHES = 100_000
 
+def asof_join(rows: DataFrame, versions: DataFrame, key: str, position: str, at: str) -> DataFrame:
+    """Every row with the columns of the version that holds at ``at``, null where none is old enough.
 
-def asof_single(rows: DataFrame, versions: DataFrame, key: str, position: str, at: str) -> DataFrame:
-    """As-of join for keys with one version each: an equi-join that hides versions from earlier rows."""
-    names = [c for c in versions.columns if c != key]
-    old_enough = F.col(position) <= F.col(at)
-    joined = rows.join(versions, key, "left")
-    return joined.select(*rows.columns, *[F.when(old_enough, F.col(n)).alias(n) for n in names])
-
-
-def version_arrays(versions: DataFrame, key: str, position: str) -> DataFrame:
-    """One row per key with all its versions in order, as ``versions``."""
-    rest = [c for c in versions.columns if c not in (key, position)]
-    return versions.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(position, *rest))).alias("versions")
-    )
-
-
-def asof_by_array(rows: DataFrame, versions: DataFrame, key: str, position: str, at: str) -> DataFrame:
-    """As-of join for keys with few versions; ``rows`` are not shuffled if ``versions`` is small.
-
-    Adds the version's columns, null where no version is old enough.
+    A version holds from its position up to the next one of its key, so a row
+    meets one version at most.  The join is an equi-join on the key with that
+    range as its condition: versions stay rows, a small table of them is
+    broadcast, and else Spark splits the rows of a hot key over several tasks.
     """
-    arrays = version_arrays(versions, key, position)
-    names = [c for c in versions.columns if c != key]
-    seen = F.filter("versions", lambda v: v[position] <= F.col(at))
-    joined = rows.join(arrays, key, "left").withColumn("_version", F.get(seen, F.size(seen) - 1))
-    return joined.select(*rows.columns, *[F.col("_version")[n].alias(n) for n in names])
-
-
-def asof_by_stretch(
-    rows: DataFrame, versions: DataFrame, key: str, position: str, at: str, width: int | None = None
-) -> DataFrame:
-    """As-of join for keys with any number of versions.
-
-    Each key's log is cut into at most ``STRETCHES`` stretches of ``width``
-    positions.  A row meets the versions of its own stretch, and the last
-    version before it, in one equi-join; Spark splits that join where a key is
-    hot.
-    """
-    low, high = versions.agg(F.min(position), F.max(position)).first()
-    width = width or max(ARRAY_VERSIONS, (high - low) // STRETCHES + 1)
-    last = (high - low) // width + 1
-
-    def stretch(c: str):
-        return F.greatest(F.lit(-1), F.least(F.lit(last), F.floor((F.col(c) - low) / width)))
-
     names = [c for c in versions.columns if c != key]
-    arrays = (
-        versions.withColumn("_stretch", stretch(position))
-        .groupBy(key, "_stretch")
-        .agg(F.array_sort(F.collect_list(F.struct(position, *[n for n in names if n != position]))).alias("versions"))
+    until = F.lead(position).over(Window.partitionBy(key).orderBy(position))
+    spans = versions.select(
+        F.col(key).alias("_key"), *[F.col(n).alias(f"_v_{n}") for n in names], until.alias("_until")
     )
-    touched = rows.select(key, stretch(at).alias("_stretch")).distinct().join(arrays, [key, "_stretch"], "full")
-    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.get("versions", F.size("versions") - 1)
-    stretches = touched.withColumn("_carried", F.last(newest, ignorenulls=True).over(before))
-    seen = F.filter("versions", lambda v: v[position] <= F.col(at))
-    joined = (
-        rows.withColumn("_stretch", stretch(at))
-        .join(stretches, [key, "_stretch"], "left")
-        .withColumn("_version", F.coalesce(F.get(seen, F.size(seen) - 1), F.col("_carried")))
+    holds = (
+        (F.col(key) == F.col("_key"))
+        & (F.col(f"_v_{position}") <= F.col(at))
+        & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
     )
-    return joined.select(*rows.columns, *[F.col("_version")[n].alias(n) for n in names])
+    joined = rows.join(spans, holds, "left")
+    return joined.select(*rows.columns, *[F.col(f"_v_{n}").alias(n) for n in names])

@@ -25,77 +25,38 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import grid as G
 from turnstile.functions import messages as M
-from turnstile.functions.asof import ARRAY_VERSIONS, asof_by_array, asof_by_stretch, asof_single
+from turnstile.functions.asof import asof_join
 from turnstile.functions.records import log_key
-from turnstile.operators.fold import STATE_DDL, fold, new_states, resumed_states
+from turnstile.operators.fold import STATE_DDL, fold, new_states
 from turnstile.operators.strategies import STRATEGIES, Strategy, by_type, refused, request_key
-from turnstile.session import cut_lineage, write_once
+from turnstile.session import write_once
 
-# Most candidates of one area that one task folds in one go.
-FOLD_LIMIT = 200_000
-
-
-@dataclass(frozen=True)
-class AreaBounds:
-    """Sizes measured on the area table; they decide between plans, never results."""
-
-    versions: int
-    largest: int
-
-
-@dataclass(frozen=True)
-class RequestBounds:
-    """Most requests of one area, and most of types whose candidates have no fixed bound."""
-
-    any_type: int
-    unbounded: int
-
-
-def measure(epochs: DataFrame) -> AreaBounds:
-    """Most creations of one area, and most seats of one."""
+def largest_area(epochs: DataFrame) -> int:
+    """Most seats of one area; no more requests for the same thing can win in any."""
     seats = G.capacity(F.col("row_count"), F.col("col_count"))
-    per_area = epochs.groupBy("event_area_id").agg(F.count("*").alias("n"), F.max(seats).alias("seats"))
-    return AreaBounds(*[value or 0 for value in per_area.agg(F.max("n"), F.max("seats")).first()])
-
-
-def measure_requests(requests: DataFrame, registry: dict[str, Strategy]) -> RequestBounds:
-    """Counted before any filter: cheap to read, and never too low."""
-    unbounded = [name for name, strategy in registry.items() if not strategy.bounded]
-    per_area = requests.groupBy("event_area_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("type").isin(*unbounded)).alias("unbounded")
-    )
-    return RequestBounds(*[value or 0 for value in per_area.agg(F.max("n"), F.max("unbounded")).first()])
+    return max(epochs.agg(F.max(seats)).first()[0] or 0, 1)
 
 
-def place(requests: DataFrame, epochs: DataFrame, bounds: AreaBounds) -> DataFrame:
+def place(requests: DataFrame, epochs: DataFrame) -> DataFrame:
     """Add epoch, row_count and col_count: the area as it was when the request came."""
     versions = epochs.select("event_area_id", "epoch", "row_count", "col_count")
-    if bounds.versions <= 1:
-        join = asof_single
-    else:
-        join = asof_by_array if bounds.versions <= ARRAY_VERSIONS else asof_by_stretch
-    return join(requests, versions, "event_area_id", "epoch", "seq")
+    return asof_join(requests, versions, "event_area_id", "epoch", "seq")
 
 
 def first_of_each(rows: DataFrame, by: list[str], limit: str, at_most: int) -> DataFrame:
     """The first ``limit`` rows per group in log order; ``limit`` never exceeds ``at_most``.
 
-    The constant lets Spark cut each group before the shuffle.  Above the
-    threshold where it does so, groups are first cut in salted parts.
+    Groups are first cut in salted parts, so that no task ranks more of a hot
+    group than its part, then as a whole.  The constant lets Spark cut each part
+    before the shuffle.  A row that was delivered twice takes one place.
     """
-    spark = rows.sparkSession
     order = [F.col("seq"), F.col("reservation_id")]
-    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if at_most > threshold:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        salted = Window.partitionBy(*by, F.pmod(F.xxhash64("reservation_id"), F.lit(parts))).orderBy(*order)
-        rows = rows.withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= F.col(limit)).drop("_rank")
-    whole = Window.partitionBy(*by).orderBy(*order)
-    return (
-        rows.withColumn("_rank", F.row_number().over(whole))
-        .where((F.col("_rank") <= at_most) & (F.col("_rank") <= F.col(limit)))
-        .drop("_rank")
-    )
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for group in ([*by, F.pmod(F.xxhash64("reservation_id"), F.lit(parts))], by):
+        rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(*order))
+        rows = rows.withColumn("_rank", rank).where((F.col("_rank") <= at_most) & (F.col("_rank") <= F.col(limit)))
+        rows = rows.drop("_rank")
+    return rows
 
 
 def contested(placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
@@ -111,80 +72,42 @@ def contested(placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     )
 
 
-def candidates(pool: DataFrame, registry: dict[str, Strategy], bounds: AreaBounds) -> DataFrame:
+def candidates(pool: DataFrame, registry: dict[str, Strategy], largest: int) -> DataFrame:
     """Of the contested requests, those that may still win given all their earlier rivals."""
     ranked = pool.withColumn("_rivals", by_type(registry, "rivals", F.lit(None)))
     by = ["event_area_id", "epoch", "type", "_rivals"]
-    return first_of_each(ranked, by, "_winners", max(bounds.largest, 1)).drop("_rivals")
+    return first_of_each(ranked, by, "_winners", largest).drop("_rivals")
 
 
-def _log_prefix(pool: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Each area's next candidates in log order, about ``limit`` of them, and where they end.
+def fold_areas(states: DataFrame, placed: DataFrame, registry: dict[str, Strategy], largest: int) -> DataFrame:
+    """Final state of every (area, epoch)."""
+    pool = candidates(contested(placed, registry), registry, largest)
+    return fold(states, pool.drop("_winners", "row_count", "col_count"), registry)
 
-    An area's pool is ranked in salted parts and each part gives its first
-    ``quota`` rows.  Up to the earliest point where a part ran into its quota
-    nothing is missing, so the rows up to there are a prefix of the log.  Areas
-    whose pool is used up have a null end.
-    """
-    area = ["event_area_id", "epoch"]
-    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    quota = max(limit // parts, 1)
-    part = Window.partitionBy(*area, F.pmod(F.xxhash64("reservation_id"), F.lit(parts))).orderBy("seq", "reservation_id")
-    ranked = cut_lineage(pool.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= quota))
-    ends = ranked.groupBy(*area).agg(F.min(F.when(F.col("_rank") == quota, request_key())).alias("_end"))
-    upto = ranked.join(ends, area).where(F.col("_end").isNull() | (request_key() <= F.col("_end")))
-    return upto.select(*pool.columns), ends.where(F.col("_end").isNotNull())
-
-
-def _fold_in_rounds(states: DataFrame, pool: DataFrame, registry: dict[str, Strategy], limit: int) -> DataFrame:
-    """Fold about ``limit`` candidates per area at a time.
-
-    After each round the candidates that the new grids rule out are dropped, in
-    parallel; in a contested area that is nearly all of them.  Every round uses
-    up a prefix of each log, so the loop ends.
+
+def first_blocked(placed: DataFrame, states: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
+    """Of each request that names seats, the index of the first one that an earlier request took, as ``blocked``.
+
+    Asked seats meet held seats one by one, so the rows that meet for a seat in
+    demand can be split, and none carries an area's grid.
     """
-    area = ["event_area_id", "epoch"]
-    inputs = states
-    while True:
-        chunk, ends = _log_prefix(pool, limit)
-        states = cut_lineage(fold(inputs, chunk, registry))
-        inputs = resumed_states(states)
-        pool = cut_lineage(
-            pool.join(ends, area)
-            .where(request_key() > F.col("_end"))
-            .join(states.select(*area, "grid", "col_count"), area)
-            .where(by_type(registry, "alive", F.lit(True)))
-            .select(*pool.columns)
+    naming = [name for name, strategy in registry.items() if strategy.names_seats]
+    rows, cols = F.col("row_count"), F.col("col_count")
+    asked = (
+        placed.where(F.col("epoch").isNotNull() & F.col("type").isin(*naming))
+        .select("event_area_id", "epoch", "seq", "reservation_id", *["row_count", "col_count"], F.posexplode("seats"))
+        .where(G.in_range(F.col("col"), rows, cols))
+        .select(
+            "event_area_id", "epoch", "seq", "reservation_id", "pos",
+            (F.col("col.row") * cols + F.col("col.col")).alias("cell"),
         )
-        if pool.isEmpty():
-            return states
-
-
-def fold_areas(
-    states: DataFrame,
-    placed: DataFrame,
-    registry: dict[str, Strategy],
-    areas: AreaBounds,
-    requests: RequestBounds,
-    limit: int = FOLD_LIMIT,
-) -> DataFrame:
-    """Final state of every (area, epoch).
-
-    Small areas are folded as they are.  As soon as one area has more than
-    ``limit`` requests, candidates are picked first; if that area has more than
-    ``limit`` candidates of types that have no fixed bound, the fold goes in
-    rounds.
-    """
-    pool = contested(placed, registry)
-    if requests.any_type > limit:
-        pool = candidates(pool, registry, areas)
-    pool = pool.drop("_winners", "row_count", "col_count")
-    if requests.unbounded > limit:
-        pool = cut_lineage(pool)
-        worst = pool.groupBy("event_area_id", "epoch").count().agg(F.max("count")).first()[0] or 0
-        if worst > limit:
-            return _fold_in_rounds(states, pool, registry, limit)
-    return fold(states, pool, registry)
+    )
+    held = (
+        states.select("event_area_id", "epoch", F.posexplode("taken").alias("cell", "holder"))
+        .where(F.col("holder").isNotNull())
+    )
+    met = asked.join(held, ["event_area_id", "epoch", "cell"]).where(F.col("holder") < request_key())
+    return met.groupBy("event_area_id", "seq", "reservation_id").agg(F.min("pos").alias("blocked"))
 
 
 def refusal_of(registry: dict[str, Strategy], area_known: Column) -> Column:
@@ -227,20 +150,11 @@ class Allocation:
             F.col("win.cells").alias("_cells"),
             F.col("win.available_seats").alias("_seats_left"),
         )
-        # Only refusals that depend on the grid look at the holders of its cells.
-        holders = self.states.select(
-            F.col("event_area_id").alias("_area"), F.col("epoch").alias("_epoch"), "taken"
-        )
-        asking = [name for name, strategy in self.registry.items() if strategy.needs_taken]
-        looked_up = self.placed.join(wins, ["event_area_id", "seq", "reservation_id"], "left").join(
-            holders,
-            (F.col("event_area_id") == F.col("_area"))
-            & (F.col("epoch") == F.col("_epoch"))
-            & F.col("type").isin(*asking),
-            "left",
-        )
+        at = ["event_area_id", "seq", "reservation_id"]
+        blocked = first_blocked(self.placed.where(self.active), self.states, self.registry)
+        looked_up = self.placed.join(wins, at, "left").join(blocked, at, "left")
         refusal = refusal_of(self.registry, F.col("epoch").isNotNull())
-        return looked_up.withColumn("_refusal", F.when(self.active, refusal)).drop("_area", "_epoch")
+        return looked_up.withColumn("_refusal", F.when(self.active, refusal)).drop("blocked")
 
     def results(self) -> DataFrame:
         """All request columns plus result, reserved_seats, error_code, error_message.
@@ -285,7 +199,6 @@ class Allocation:
         unchanged = (
             self._answered()
             .where(self.active & F.col("_refusal").isNull() & F.col("_cells").isNull())
-            .drop("taken")
             .join(state, ["event_area_id", "epoch"])
             .withColumn(
                 "available_seats",
@@ -316,12 +229,12 @@ def allocate(
     areas: DataFrame,
     active: Column | None = None,
     registry: dict[str, Strategy] = STRATEGIES,
-    fold_limit: int = FOLD_LIMIT,
 ) -> Allocation:
     """Allocate seats to ``requests`` in areas created by ``areas``.
 
     requests: seq, reservation_id, event_area_id, event_id, area_id, num_of_seats, type, seats, and
-        any other columns, which are kept.  active: only these rows take part.
+        any other columns, which are kept.  active: only these rows take part.  A request that was
+        delivered twice wins once, and both rows get its answer.
     areas: seq, event_area_id, row_count, col_count, optionally grid and available_seats; a creation
         that was delivered twice counts once.
 
@@ -330,9 +243,6 @@ def allocate(
     active = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
     areas = areas.dropDuplicates(["event_area_id", "seq"])
     empty = new_states(areas)
-    bounds = measure(empty)
-    placed = place(requests, empty, bounds)
-    states = fold_areas(
-        empty, placed.where(active), registry, bounds, measure_requests(requests, registry), fold_limit
-    )
+    placed = place(requests, empty)
+    states = fold_areas(empty, placed.where(active), registry, largest_area(empty))
     return Allocation(placed, active, areas, write_once(states, STATE_DDL, "area-states"), registry)

@@ -7,7 +7,6 @@ candidate requests.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,17 +65,16 @@ class AreaFold:
         self.grid = bytearray(row["grid"], "ascii")
         self.rows, self.cols = row["row_count"], row["col_count"]
         self.available = row["available_seats"]
-        if row["past"] is None:
-            seats = self.grid.replace(b"|", b"")
-            self.taken = [None if seat == FREE else TAKEN_BEFORE for seat in seats]
-            self.wins = []
-        else:
-            past = json.loads(row["past"])
-            self.taken = [t and (t["seq"], t["id"]) for t in past["taken"]]
-            self.wins = past["wins"]
+        seats = self.grid.replace(b"|", b"")
+        self.taken = [None if seat == FREE else TAKEN_BEFORE for seat in seats]
+        self.wins = []
         self.hopeless = set()
+        self.last = None
 
     def request(self, strategy: tuple, key: tuple, count: int, seats: list) -> None:
+        if key == self.last:  # delivered twice
+            return
+        self.last = key
         pick, by_count = strategy
         if by_count and count in self.hopeless:
             return
@@ -130,7 +128,7 @@ def _state_batch(areas: list[AreaFold]) -> pa.RecordBatch:
     )
 
 
-_STATE_FIELDS = [f.name for f in _STATE_SCHEMA if f.name not in ("taken", "wins")] + ["past"]
+_STATE_FIELDS = [f.name for f in _STATE_SCHEMA if f.name not in ("taken", "wins")]
 
 
 def _fold_task(picks: dict, seats_per_batch: int = 200_000):
@@ -177,20 +175,9 @@ def new_states(areas: DataFrame) -> DataFrame:
         grid.alias("grid"),
         seats.cast("int").alias("available_seats"),
         seats.cast("int").alias("initial_seats"),
-        F.lit(None).cast("string").alias("past"),
     )
 
 
-def resumed_states(states: DataFrame) -> DataFrame:
-    """States as written by a fold, as input of the next.
-
-    What happened so far travels as one text column: it is null on every
-    request row, and null nested columns are slow to hand to Python.
-    """
-    past = F.to_json(F.struct("taken", "wins"), {"ignoreNullFields": "false"})
-    return states.withColumn("past", past).drop("taken", "wins")
-
-
 def fold(states: DataFrame, candidates: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """Apply candidate requests to area states, in log order within each area.
 

@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from turnstile.functions import messages as M
 from turnstile.operators.projections import new_reservations
 from turnstile.operators.strategies import STRATEGIES, Strategy, by_type
-from turnstile.operators.tables import SNAPSHOT_AREAS, most_recent
+from turnstile.operators.tables import most_recent
 
 _SNAPSHOT = ("row_count", "col_count", "available_seats", "grid")
 
 
-def with_snapshot(requests: DataFrame, snapshot: DataFrame, keep: int = SNAPSHOT_AREAS) -> DataFrame:
+def with_snapshot(requests: DataFrame, snapshot: DataFrame, keep: int | None = None) -> DataFrame:
     """Requests with the columns of their area's snapshot, null where it has none.
 
-    The snapshot is cut to its ``keep`` newest areas, so its size is bounded
-    whatever the number of areas, and it is sent to every executor.
+    ``keep`` cuts the snapshot to its newest areas; without it all areas count.
+    Spark broadcasts a snapshot that is small and else splits areas that are hot.
     """
-    bounded = most_recent(snapshot, ["seq", "event_area_id"], keep).select("event_area_id", *_SNAPSHOT)
-    return requests.join(F.broadcast(bounded), "event_area_id", "left")
+    if keep is not None:
+        snapshot = most_recent(snapshot, ["seq", "event_area_id"], keep)
+    return requests.join(snapshot.select("event_area_id", *_SNAPSHOT), "event_area_id", "left")
 
 
 def decide(
     requests: DataFrame,
     snapshot: DataFrame,
     registry: dict[str, Strategy] = STRATEGIES,
-    keep: int = SNAPSHOT_AREAS,
+    keep: int | None = None,
 ) -> DataFrame:
     """Requests as reservations, PROCESSING or already FAILED."""
     passes = by_type(registry, "passes", F.lit(True))
@@ -45,11 +46,17 @@ def decide(
     )
 
 
-def passing(requests: DataFrame, snapshot: DataFrame, request_type: str, keep: int = SNAPSHOT_AREAS) -> DataFrame:
+def passing(
+    requests: DataFrame,
+    snapshot: DataFrame,
+    request_type: str,
+    registry: dict[str, Strategy] = STRATEGIES,
+    keep: int | None = None,
+) -> DataFrame:
     """One strategy's predicate on the requests of its type whose area is known."""
     looked_up = with_snapshot(requests.where(F.col("type") == request_type), snapshot, keep)
     return (
         looked_up.where(F.col("row_count").isNotNull())
-        .withColumn("passes", STRATEGIES[request_type].passes())
+        .withColumn("passes", registry[request_type].passes())
         .drop(*_SNAPSHOT)
     )

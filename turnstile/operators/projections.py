@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import grid as G
 from turnstile.functions.records import coerce_type, event_area_key, seat_list
+from turnstile.schemas import REQUEST_TYPES
 
 
 def event_areas(events: DataFrame) -> DataFrame:
@@ -47,11 +48,14 @@ def seat_rows(status: DataFrame) -> DataFrame:
     )
 
 
-def normalise_requests(raw: DataFrame) -> DataFrame:
-    """Known request types, seat lists that are never null, and the area key."""
+def normalise_requests(raw: DataFrame, known=REQUEST_TYPES) -> DataFrame:
+    """Known request types, seat lists that are never null, and the area key.
+
+    Pass the names of a registry with added strategies as ``known``.
+    """
     return raw.withColumns(
         {
-            "type": coerce_type(F.col("type")),
+            "type": coerce_type(F.col("type"), known),
             "seats": seat_list(F.col("seats")),
             "event_area_id": event_area_key(F.col("event_id"), F.col("area_id")),
         }

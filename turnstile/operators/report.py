@@ -70,9 +70,9 @@ def failed_reasons(reservations: DataFrame) -> DataFrame:
 
 
 def sold_out_times(requests: DataFrame, changelog: DataFrame, areas: DataFrame) -> DataFrame:
-    """Per event: first request, and when its last area had no seat left.
+    """Per event and overall: first request, and when the last area had no seat left.
 
-    The time is null while any area of the event still has seats.
+    The time is null while any area still has seats; the overall row has a null event.
     """
     started = requests.groupBy("event_id").agg(F.min("ts").alias("first_request_ts"))
     emptied = (
@@ -80,17 +80,19 @@ def sold_out_times(requests: DataFrame, changelog: DataFrame, areas: DataFrame)
         .groupBy("event_area_id")
         .agg(F.min_by("ts", F.struct("seq", "reservation_id")).alias("sold_out_ts"))
     )
-    per_event = (
+    totals = (
         areas.join(emptied, "event_area_id", "left")
-        .groupBy("event_id")
+        .join(started, "event_id")
+        .rollup("event_id")
         .agg(
+            F.min("first_request_ts").alias("first_request_ts"),
             F.count("*").alias("areas"),
             F.count("sold_out_ts").alias("areas_sold_out"),
             F.when(F.count("*") == F.count("sold_out_ts"), F.max("sold_out_ts")).alias("sold_out_ts"),
         )
     )
     gap = F.unix_micros("sold_out_ts") - F.unix_micros("first_request_ts")
-    return per_event.join(started, "event_id").withColumn("sold_out_ms", F.floor(gap / 1000))
+    return totals.withColumn("sold_out_ms", F.floor(gap / 1000))
 
 
 def selectivity(decisions: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def selectivity(decisions: DataFrame) -> DataFrame:
 def key_skew(requests: DataFrame, key: str, top: int = 10) -> DataFrame:
     """The ``top`` keys by load with their share of all requests."""
     counts = requests.groupBy(key).agg(F.count("*").alias("requests"))
-    total = requests.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("requests")).scalar()
     busiest = counts.orderBy(F.col("requests").desc(), key).limit(top)
     return busiest.withColumn("share", F.round(F.col("requests") / total, 6))
 
@@ -164,6 +166,33 @@ def latency_percentiles_approx(times: DataFrame, is_error: Column, accuracy: int
     )
 
 
+def approx_rank_errors(times: DataFrame, is_error: Column, accuracy: int = 10_000) -> DataFrame:
+    """Per measure and point, whether the approximate value's rank is within ``1 / accuracy`` of the point.
+
+    A value stands for all ranks from the rows below it to the rows up to it.
+    """
+    calls = times.where(~is_error).select(response_ms().alias("processing"), F.col("latency_ms").alias("latency"))
+    each = calls.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in ("processing", "latency")
+    ])))
+    points = F.array(*[F.struct(F.lit(k).alias("point"), F.lit(p).alias("p")) for k, p in POINTS.items()])
+    found = each.groupBy("measure").agg(
+        F.percentile_approx("v", list(POINTS.values()), accuracy).alias("values"), F.count("v").alias("n")
+    )
+    wanted = found.select("measure", "n", F.posexplode(points).alias("i", "w"), "values").select(
+        "measure", "n", "w.point", "w.p", F.col("values")[F.col("i")].alias("value")
+    )
+    counted = each.groupBy("measure", "v").agg(F.count("*").alias("k"))
+    ranks = wanted.join(counted, "measure").groupBy("measure", "point", "p", "n").agg(
+        F.sum(F.when(F.col("v") < F.col("value"), F.col("k")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("v") <= F.col("value"), F.col("k")).otherwise(0)).alias("upto"),
+    )
+    slack = F.ceil(F.col("n") / accuracy)
+    target = F.ceil(F.col("p") * F.col("n"))
+    within = (F.col("below") - slack <= target) & (target <= F.col("upto") + slack)
+    return ranks.select("measure", "point", F.col("n").alias("calls"), within.alias("within_bound"))
+
+
 def check_rate_trend(times: DataFrame) -> DataFrame:
     """Checks passed, and the duration of journeys whose two calls both succeeded.
 

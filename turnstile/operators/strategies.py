@@ -8,8 +8,8 @@ be answered without entering the fold at all:
 * ``rivals`` and ``winners`` say that of all requests of one area with the same
   ``rivals`` value, only the first ``winners`` can possibly get seats.  The fold
   needs no others.
-* ``refusal`` says why a request got no seats, from the area's finished fold:
-  which request took each seat, and so what was still free at any point of the log.
+* ``refusal`` says why a request got no seats.  Types that name their seats can
+  ask which of them was taken first: the answers look it up seat by seat.
 """
 
 from __future__ import annotations
@@ -33,11 +33,10 @@ class Strategy:
 
     passes: request columns + row_count, col_count, available_seats, grid
     rivals, winners: request columns + row_count, col_count
-    refusal: request columns + row_count, col_count and, if ``needs_taken``, taken;
+    refusal: request columns + row_count, col_count and, if ``names_seats``, blocked: the
+        index in ``seats`` of the first one that was taken before, null if none was;
         asked of requests that won no seat, null if such a request succeeds all the same
-    alive: request columns + col_count, grid; false only if the grid rules the request out
-    bounded: the count alone decides what is asked for, so the area's size bounds how
-        many requests ``winners`` lets through, and a count refused once stays refused
+    bounded: the count alone decides what is asked for, so a count refused once stays refused
     """
 
     pick: Callable[[bytearray, int, int, int, list], list | None]
@@ -45,9 +44,8 @@ class Strategy:
     rivals: Callable[[], Column]
     winners: Callable[[], Column]
     refusal: Callable[[], Column]
-    alive: Callable[[], Column] = lambda: F.lit(True)
     bounded: bool = False
-    needs_taken: bool = True
+    names_seats: bool = False
 
 
 def refused(code: str, template: str, *args: Column) -> Column:
@@ -132,15 +130,12 @@ def _named_winners() -> Column:
 
 def _named_refusal() -> Column:
     rows, cols = F.col("row_count"), F.col("col_count")
-    key = request_key()
     area = event_area_key(F.col("event_id"), F.col("area_id"))
-
-    def refused_seat(s: Column) -> Column:
-        holder = F.get(F.col("taken"), s["row"] * cols + s["col"])
-        return ~G.in_range(s, rows, cols) | F.coalesce(holder < key, F.lit(False))
-
+    outside = F.filter(
+        F.transform("seats", lambda s, i: F.when(~G.in_range(s, rows, cols), i)), lambda i: i.isNotNull()
+    )
     # Seats are looked at in the order asked for; no seats asked for, none refused.
-    first = F.get(F.filter("seats", refused_seat), F.lit(0))
+    first = F.get("seats", F.least(F.get(outside, F.lit(0)), F.col("blocked")))
     return (
         F.when(first.isNull(), None)
         .when(G.in_range(first, rows, cols), refused("NOT_AVAILABLE", M.SEAT_TAKEN, area, first["row"], first["col"]))
@@ -155,9 +150,7 @@ STRATEGIES: dict[str, Strategy] = {
         rivals=lambda: F.col("num_of_seats").cast("string"),
         winners=_run_winners,
         refusal=_run_refusal,
-        alive=lambda: G.has_run(F.col("grid"), F.col("num_of_seats")),
         bounded=True,
-        needs_taken=False,
     ),
     "SELF_PICK": Strategy(
         pick=pick_named_seats,
@@ -165,7 +158,7 @@ STRATEGIES: dict[str, Strategy] = {
         rivals=_named_rivals,
         winners=_named_winners,
         refusal=_named_refusal,
-        alive=lambda: F.forall("seats", lambda s: G.is_free(F.col("grid"), s, F.col("col_count"))),
+        names_seats=True,
     ),
 }
 

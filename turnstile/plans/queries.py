@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.functions import grid as G
+from turnstile.functions.asof import asof_join
 from turnstile.functions.records import at_millis, reservation_document, to_millis
 from turnstile.operators import lifecycle, prefilter, projections, report, tables
 from turnstile.operators.allocate import allocate
@@ -184,6 +185,45 @@ def ingest_json_requests(spark, sf):
     return accepted.unionByName(rejected, allowMissingColumns=True)
 
 
+@query
+def ingest_json_events(spark, sf):
+    """Orders as event commands with one area per line item; some documents are cut off."""
+    lines = D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    F.col("l_linenumber").cast("string").alias("areaId"),
+                    F.when(F.col("l_linenumber") != 2, F.col("l_partkey").cast("int")).alias("price"),
+                    (1 + F.col("l_suppkey") % 9).cast("int").alias("rowCount"),
+                    (1 + F.col("l_partkey") % 7).cast("int").alias("colCount"),
+                )
+            )
+        ).alias("areas")
+    )
+    opening = F.to_timestamp("o_orderdate")
+    sent = D.table(spark, sf, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    body = F.to_json(
+        F.struct(
+            F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey").cast("string")).alias("eventName"),
+            F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("artist"),
+            F.date_format(opening, "yyyy-MM-dd'T'HH:mm:ss.123456'Z'").alias("reservationOpeningTime"),
+            F.col("areas"),
+        )
+    )
+    broken = F.when(F.col("o_orderkey") % 97 == 0, F.substr(body, F.lit(1), F.length(body) - 3)).otherwise(body)
+    events = ingest.event_commands(sent.select(F.col("o_orderkey").cast("bigint").alias("seq"), broken.alias("value")))
+    areas = F.transform(
+        "areas",
+        lambda a: F.concat_ws(
+            ":", a["area_id"], a["price"].cast("string"), a["row_count"].cast("string"), a["col_count"].cast("string")
+        ),
+    )
+    return events.select(
+        "seq", "event_name", "artist", "opening_ts", F.col("closing_ts").isNull().alias("no_closing"),
+        F.array_join(areas, ",").alias("areas"),
+    )
+
+
 @query
 def typed_roundtrip(spark, sf):
     encoded = logs.encode(D.requests(spark, sf), "create_reservation", "reservation_id")
@@ -205,7 +245,7 @@ def area_status_init(spark, sf):
 
 @query
 def seat_rows(spark, sf):
-    return projections.seat_rows(projections.nested_status(D.pinned_snapshot(spark, sf)))
+    return projections.seat_rows(projections.nested_status(D.pinned_snapshot(spark, sf, every=True)))
 
 
 @query
@@ -335,9 +375,22 @@ def allocator_area_lookup(spark, sf):
     )
 
 
+@query
+def asof_many_versions(spark, sf):
+    """Line items with the newest order of their supplier so far: many versions per key, and many rows for each."""
+    lines = D.table(spark, sf, "lineitem")
+    versions = lines.groupBy("l_suppkey", F.col("l_orderkey").cast("bigint").alias("since")).agg(
+        F.sum("l_linenumber").cast("bigint").alias("lines")
+    )
+    rows = lines.where(F.col("l_linenumber").isNotNull()).select(
+        "l_suppkey", "l_partkey", "l_linenumber", (F.col("l_orderkey").cast("bigint") - 3).alias("at")
+    )
+    return asof_join(rows, versions, "l_suppkey", "since", "at")
+
+
 @query
 def apply_results(spark, sf):
-    created = _decided(spark, sf).where((F.col("state") == "PROCESSING") & (F.col("seq") % 3 != 0))
+    created = _decided(spark, sf).where(F.col("state") == "PROCESSING")
     return _final_columns(lifecycle.apply_results(created, _results(spark, sf)))
 
 
@@ -433,9 +486,7 @@ def _pick_back_row(grid: bytearray, rows: int, cols: int, count: int, seats: lis
     return [(row, col + i) for i in range(count)]
 
 
-@query
-def strategy_extension(spark, sf):
-    """A third request type, BACK_ROW, used by every second RANDOM request."""
+def _back_row_registry():
     n = F.col("num_of_seats")
     registry = register_strategy(
         "BACK_ROW",
@@ -445,12 +496,34 @@ def strategy_extension(spark, sf):
             refused("NOT_AVAILABLE", "no %d seats left at the back", n)
         ),
     )
-    mixed = D.requests(spark, sf).withColumn(
+    return registry
+
+
+def _back_row_requests(spark, sf, registry):
+    sent = D.raw_requests(spark, sf).withColumn(
         "type", F.when((F.col("type") == "RANDOM") & (F.col("seq") % 2 == 0), "BACK_ROW").otherwise(F.col("type"))
     )
+    return projections.normalise_requests(sent, [*registry, "INVALID"])
+
+
+@query
+def strategy_extension(spark, sf):
+    """A third request type, BACK_ROW, used by every second RANDOM request."""
+    registry = _back_row_registry()
+    mixed = _back_row_requests(spark, sf, registry)
     return _fold_columns(allocate(mixed, D.areas(spark, sf), registry=registry).results())
 
 
+@query
+def strategy_extension_flow(spark, sf):
+    """The third type through normalising, pre-filter, allocation and life cycle."""
+    registry = _back_row_registry()
+    areas = D.areas(spark, sf)
+    requests = _back_row_requests(spark, sf, registry)
+    final = reservation_flow(requests, areas, projections.area_status(areas), registry)
+    return final.select("reservation_id", "type", "state", G.seats_text(F.col("seats")).alias("seats"))
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 
@@ -511,6 +584,11 @@ def latency_percentiles_approx(spark, sf):
     return report.latency_percentiles_approx(_with_latency(spark, sf), _is_error())
 
 
+@query
+def latency_percentiles_rank(spark, sf):
+    return report.approx_rank_errors(_with_latency(spark, sf), _is_error())
+
+
 @query
 def check_rate_trend(spark, sf):
     return report.check_rate_trend(D.timings(spark, sf))
@@ -529,8 +607,8 @@ def duration_percentile_tumbling(spark, sf):
 @query
 def sold_out_time(spark, sf):
     requests = D.requests(spark, sf)
-    times = requests.select("event_area_id", "seq", "ts")
-    changes = allocate(requests, D.areas(spark, sf)).changelog().join(times, ["event_area_id", "seq"])
+    key = ["event_area_id", "seq", "reservation_id"]
+    changes = allocate(requests, D.areas(spark, sf)).changelog().join(requests.select(*key, "ts"), key)
     return report.sold_out_times(requests, changes, D.areas(spark, sf))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.operators import prefilter
-from turnstile.operators.allocate import FOLD_LIMIT, Allocation, allocate
+from turnstile.operators.allocate import Allocation, allocate
 from turnstile.operators.lifecycle import settle
 from turnstile.operators.strategies import STRATEGIES, Strategy
 
@@ -16,7 +16,6 @@ def admit_and_allocate(
     areas: DataFrame,
     snapshot: DataFrame,
     registry: dict[str, Strategy] = STRATEGIES,
-    fold_limit: int = FOLD_LIMIT,
 ) -> Allocation:
     """Reject early against ``snapshot``, then allocate what is left.
 
@@ -24,7 +23,7 @@ def admit_and_allocate(
     read and joined once and not split and united again.
     """
     decided = prefilter.decide(requests, snapshot, registry)
-    return allocate(decided, areas, F.col("state") == "PROCESSING", registry, fold_limit)
+    return allocate(decided, areas, F.col("state") == "PROCESSING", registry)
 
 
 def reservation_flow(
@@ -32,10 +31,9 @@ def reservation_flow(
     areas: DataFrame,
     snapshot: DataFrame,
     registry: dict[str, Strategy] = STRATEGIES,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Every request as its final reservation."""
-    return settle(admit_and_allocate(requests, areas, snapshot, registry, fold_limit).results())
+    return settle(admit_and_allocate(requests, areas, snapshot, registry).results())
 
 
 def result_records(allocation: Allocation) -> DataFrame:

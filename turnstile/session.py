@@ -57,12 +57,6 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, *keys: str):
-    """``df`` over all cores, if its files are too few for that; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_once(df, ddl: str, name: str):
     """Write ``df`` to a table of its own in the shared folder and return the table."""
     path = scratch_path(df.sparkSession, name)

@@ -12,7 +12,6 @@ from turnstile.functions import grid as G
 from turnstile.functions.records import event_area_key
 from turnstile.operators.projections import area_status, event_areas, normalise_requests
 from turnstile.schemas import SEATS
-from turnstile.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +63,7 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reservation requests as sent: unknown types and missing seat lists included."""
     events = (
-        spread(table(spark, sf_dir, "events"), "event_id")
+        table(spark, sf_dir, "events")
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .withColumn("nk", F.col("k") % 26)
     )
@@ -97,8 +96,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_requests(raw_requests(spark, sf_dir))
 
 
-def pinned_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed area snapshot: some areas sold out, some unknown, the others partly taken."""
+def pinned_snapshot(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """A fixed area snapshot: some areas sold out, some unknown unless ``every``, the others partly taken."""
     status = area_status(areas(spark, sf_dir))
     nation = F.col("area_id").cast("int")
     rows, cols = F.col("row_count"), F.col("col_count")
@@ -116,7 +115,7 @@ def pinned_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         "|",
     )
     return (
-        status.where(nation % 7 != 6)
+        status.where(F.lit(every) | (nation % 7 != 6))
         .withColumn("grid", taken)
         .withColumn("available_seats", F.length(F.regexp_replace("grid", "[0|]", "")))
     )
@@ -229,7 +228,7 @@ def line_requests(spark: SparkSession, sf_dir: str, hot: Column | None = None) -
     key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     supplier = F.col("l_suppkey") if hot is None else F.when(hot, 0).otherwise(F.col("l_suppkey"))
     lines = table(spark, sf_dir, "lineitem").select(*key, "l_quantity", "l_shipdate")
-    lines = spread(lines, *key).withColumn("supplier", supplier)
+    lines = lines.withColumn("supplier", supplier)
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_nationkey")
     event_id = F.concat(F.lit("event-"), F.col("s_nationkey").cast("string"))
     area_id = F.col("supplier").cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.functions.records import at_millis, coerce_type, event_area_key, seat_list, stable_id
+from turnstile.schemas import REQUEST_TYPES
 
 # Field names of the JSON commands.
 RESERVATION_BODY = (
@@ -33,7 +34,7 @@ def _unusable(*required: str):
     return broken
 
 
-def reservation_commands(raw: DataFrame) -> DataFrame:
+def reservation_commands(raw: DataFrame, known=REQUEST_TYPES) -> DataFrame:
     """Usable reservation requests of ``raw`` (seq, ts, value).
 
     The id is derived from position and text, so it is the same whenever a row
@@ -50,7 +51,7 @@ def reservation_commands(raw: DataFrame) -> DataFrame:
         F.col("body.areaId").alias("area_id"),
         F.coalesce("body.numOfSeats", F.lit(0)).alias("num_of_seats"),
         F.lit(0).alias("num_of_seat"),
-        coerce_type(F.col("body.type")).alias("type"),
+        coerce_type(F.col("body.type"), known).alias("type"),
         seat_list(F.col("body.seats")).alias("seats"),
         event_area_key(F.col("body.eventId"), F.col("body.areaId")).alias("event_area_id"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +60,22 @@ def decode(df: DataFrame, record: str) -> DataFrame:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch of a log; writing the same batch again replaces it.
+    """Write one batch of a log, once.
 
-    This makes the sink idempotent: a batch that is replayed after a failure
-    leaves the same rows as if it had run once.
+    The rows are written beside the log and their folder then takes its place by
+    a rename, so that a reader, a stream too, sees the whole batch or nothing.
+    A batch that is there already stays as it is: one that is replayed after a
+    failure adds no file, and what follows does not read it a second time.
     """
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    jvm = df.sparkSession.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
+    files = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return
+    staged = f"{path}/_staged-{batch_id}-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    if not files.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
+        raise OSError(f"batch {batch_id} could not be moved to {path}")
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -1,116 +1,98 @@
-"""Seat allocation as a stateful stream keyed by area."""
+"""Seat allocation as a stream: every micro-batch goes through the batch allocator.
+
+Between micro-batches an area is one row, its grid and counter, in a table that
+grows by the areas that each batch touched.  A batch reads the states of the
+batches before it and writes its own under its own number, so that running it
+again, after a failure, starts from the same states and changes nothing.
+
+Within a micro-batch only candidates are folded, so a task sees rows in
+proportion to an area's seats and not to the requests of the batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnstile.functions import grid as G
-from turnstile.operators.allocate import cells_to_seats, refusal_of
-from turnstile.operators.fold import KEY, TAKEN_BEFORE, mark
+from turnstile.operators import prefilter
+from turnstile.operators.allocate import Allocation, allocate
+from turnstile.operators.lifecycle import settle
 from turnstile.operators.strategies import STRATEGIES, Strategy
-from turnstile.sources.logs import write_batch
+from turnstile.operators.tables import latest_per_key
+from turnstile.sources.logs import read_batches, write_batch
 from turnstile.streaming.runtime import run_to_end
 
-_SHAPE = ["row_count", "col_count"]
-_REQUEST = ["seq", "ts", "reservation_id", "event_id", "area_id", "num_of_seats", "type", "seats"]
-
-_STATE = "grid string, available_seats int, row_count int, col_count int"
-_OUTPUT = (
-    "kind string, event_area_id string, seq bigint, ts timestamp, reservation_id string, event_id string, "
-    "area_id string, num_of_seats int, type string, seats array<struct<row:int,col:int>>, cells array<int>, "
-    "row_count int, col_count int, available_seats int, grid string"
-)
-
-
-class SeatAllocator(StatefulProcessor):
-    """Holds one area's grid; takes its creations and requests in log order."""
-
-    def __init__(self, picks: dict, asking: frozenset):
-        self.picks = picks
-        self.asking = asking
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.area = handle.getValueState("area", _STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # Holds one area's rows of one batch; the batch size bounds them.
-        ordered = sorted(rows, key=lambda r: (r["seq"], r["kind"] != "created", r["reservation_id"] or ""))
-        stored = self.area.get()
-        grid = bytearray(stored[0], "ascii") if stored else None
-        available, rows_n, cols_n = stored[1:] if stored else (None, None, None)
-        for r in ordered:
-            cells = None
-            if r["kind"] == "created":
-                grid, available = bytearray(r["grid"], "ascii"), r["available_seats"]
-                rows_n, cols_n = r["row_count"], r["col_count"]
-            elif grid is not None and r["type"] in self.picks:
-                seats = [(s["row"], s["col"]) for s in r["seats"]]
-                won = self.picks[r["type"]](grid, rows_n, cols_n, r["num_of_seats"], seats)
-                if won is not None:
-                    cells = mark(grid, cols_n, won)
-                    available -= len(cells)
-            # The grid goes out where someone needs it: changes, and refusals that depend on it.
-            shown = grid is not None and (r["kind"] == "created" or cells is not None or r["type"] in self.asking)
-            yield Row(
-                kind=r["kind"], event_area_id=key[0], **{c: r[c] for c in _REQUEST}, cells=cells,
-                row_count=rows_n, col_count=cols_n, available_seats=available,
-                grid=grid.decode("ascii") if shown else None,
-            )
-        if grid is not None:
-            self.area.update((grid.decode("ascii"), available, rows_n, cols_n))
-
-    def close(self) -> None:
-        pass
-
-
-def allocator_stream(areas: DataFrame, requests: DataFrame, registry: dict[str, Strategy] = STRATEGIES) -> DataFrame:
-    """One row per area creation and per request, with the area's state after it.
+_REQUEST = [
+    "seq", "ts", "reservation_id", "user_id", "event_id", "area_id", "num_of_seats", "num_of_seat", "type", "seats",
+]
+_AREA = ["event_area_id", "seq", "row_count", "col_count", "grid", "available_seats"]
+_STATES = "event_area_id string, row_count int, col_count int, grid string, available_seats int"
+# Position of what an area was before the batch: older than any row of the batch.
+BEFORE = -(2**62)
 
-    ``areas`` and ``requests`` are streams (:func:`turnstile.operators.projections.event_areas`
-    and reserve-seat rows).  Between batches, order is the order of batches.
-    """
+
+@dataclass(frozen=True)
+class AreaStates:
+    """The states table of one job, by batch."""
+
+    spark: SparkSession
+    path: str
+
+    def before(self, batch_id: int) -> DataFrame:
+        """Each area as the batches before ``batch_id`` left it."""
+        nothing = self.spark.createDataFrame([], _STATES)
+        write_batch(nothing, self.path, -1)
+        earlier = read_batches(self.spark, self.path).where(F.col("batch") < batch_id)
+        return latest_per_key(earlier, "event_area_id", ["batch"]).drop("batch")
+
+    def write(self, states: DataFrame, batch_id: int) -> None:
+        write_batch(states.select("event_area_id", "row_count", "col_count", "grid", "available_seats"), self.path, batch_id)
+
+
+def tagged(areas: DataFrame, requests: DataFrame) -> DataFrame:
+    """Creations and requests as one stream, so that one job has both in order."""
     rows, cols = F.col("row_count"), F.col("col_count")
     created = areas.select(
-        F.lit("created").alias("kind"), "event_area_id", "seq", *_SHAPE,
+        F.lit("created").alias("kind"), "event_area_id", "seq", "row_count", "col_count",
         G.capacity(rows, cols).alias("available_seats"), G.full_grid(rows, cols).alias("grid"),
     )
-    asked = requests.select(F.lit("asked").alias("kind"), "event_area_id", *_REQUEST)
-    tagged = asked.unionByName(created, allowMissingColumns=True)
-    picks = {name: strategy.pick for name, strategy in registry.items()}
-    asking = frozenset(name for name, strategy in registry.items() if strategy.needs_taken)
-    return tagged.groupBy("event_area_id").transformWithState(
-        SeatAllocator(picks, asking), _OUTPUT, "Append", "None"
+    # A request that lacks a part is refused like any other that asks for nothing.
+    asked = requests.select(
+        F.lit("asked").alias("kind"), "event_area_id", *[c for c in _REQUEST if c in requests.columns]
+    ).withColumns(
+        {
+            "num_of_seats": F.coalesce("num_of_seats", F.lit(0)),
+            "seats": F.coalesce("seats", F.array().cast("array<struct<row:int,col:int>>")),
+        }
     )
+    return asked.unionByName(created, allowMissingColumns=True)
 
 
-def split_results(batch: DataFrame, registry: dict[str, Strategy] = STRATEGIES) -> DataFrame:
-    """Result records of a batch of :func:`allocator_stream`."""
-    # A seat that is taken now was taken before this request.
-    before = F.struct(F.lit(TAKEN_BEFORE[0]).alias("seq"), F.lit(TAKEN_BEFORE[1]).alias("id"))
-    taken = F.transform(
-        F.split(F.replace(F.col("grid"), F.lit("|")), ""), lambda seat: F.when(seat == "0", before)
-    ).cast(f"array<{KEY}>")
-    asked = batch.where(F.col("kind") == "asked").withColumns({"taken": taken, "_cells": F.col("cells")})
-    refusal = refusal_of(registry, F.col("row_count").isNotNull())
-    won = cells_to_seats(F.col("cells"), F.col("col_count"))
-    return asked.withColumn("_refusal", refusal).select(
-        "seq", "ts", "reservation_id", "event_area_id",
-        F.when(F.col("_refusal").isNull(), "SUCCESS").otherwise("FAILED").alias("result"),
-        F.when(F.col("_refusal").isNull(), won).alias("seats"),
-        F.col("_refusal.error_code").alias("error_code"),
-        F.col("_refusal.error_message").alias("error_message"),
-    )
+@dataclass(frozen=True)
+class Step:
+    """One micro-batch: what was there before it, what it creates and asks."""
 
+    before: DataFrame
+    created: DataFrame
+    requests: DataFrame
 
-def split_changes(batch: DataFrame) -> DataFrame:
-    """Area changelog of a batch: creations and successes."""
-    return batch.where((F.col("kind") == "created") | F.col("cells").isNotNull()).select(
-        "event_area_id", "seq", "reservation_id", *_SHAPE, "available_seats", "grid"
-    )
+    def areas(self) -> DataFrame:
+        """Areas that the batch touches: as they were, and as it creates them."""
+        touched = self.created.select("event_area_id").union(self.requests.select("event_area_id")).distinct()
+        known = self.before.join(touched, "event_area_id", "left_semi").withColumn("seq", F.lit(BEFORE))
+        return known.select(*_AREA).unionByName(self.created.select(*_AREA))
+
+    def changes(self, allocation: Allocation) -> DataFrame:
+        """Area changelog of the batch: creations and successes."""
+        return allocation.changelog().where((F.col("seq") > BEFORE) | F.col("reservation_id").isNotNull())
+
+
+def step_of(batch: DataFrame, before: DataFrame) -> Step:
+    asked = batch.where(F.col("kind") == "asked").drop("kind", "row_count", "col_count", "available_seats", "grid")
+    return Step(before, batch.where(F.col("kind") == "created"), asked)
 
 
 def run_allocator(
@@ -118,16 +100,58 @@ def run_allocator(
     requests: DataFrame,
     results_path: str,
     changes_path: str,
+    states_path: str,
     checkpoint: str,
     registry: dict[str, Strategy] = STRATEGIES,
-    partitions: int | None = None,
 ) -> None:
-    """The allocator job: results and area changes, each to its own log."""
+    """The allocator job: results, area changes and area states, each to its own log.
+
+    ``areas`` and ``requests`` are streams (:func:`turnstile.operators.projections.event_areas`
+    and reserve-seat rows).  Between batches, order is the order of batches.
+    """
+    states = AreaStates(requests.sparkSession, states_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        write_batch(split_results(held, registry), results_path, batch_id)
-        write_batch(split_changes(held), changes_path, batch_id)
-        held.unpersist()
+        step = step_of(batch.persist(), states.before(batch_id))
+        allocation = allocate(step.requests, step.areas(), registry=registry)
+        write_batch(allocation.results().withColumnRenamed("reserved_seats", "seats_won").select(
+            "seq", "ts", "reservation_id", "event_area_id", "result", F.col("seats_won").alias("seats"),
+            "error_code", "error_message",
+        ), results_path, batch_id)
+        write_batch(step.changes(allocation), changes_path, batch_id)
+        states.write(allocation.final_areas(), batch_id)
+        batch.unpersist()
+
+    run_to_end(tagged(areas, requests), write, checkpoint)
+
+
+def run_flow(
+    areas: DataFrame,
+    requests: DataFrame,
+    final_path: str,
+    changes_path: str,
+    states_path: str,
+    checkpoint: str,
+    registry: dict[str, Strategy] = STRATEGIES,
+) -> None:
+    """Intake, allocator and life cycle as one job.
+
+    The pre-filter looks at the areas as the batches before left them, so what
+    has sold out is rejected without reaching the allocator.  Every request of a
+    batch leaves it as a final reservation; ``admitted`` tells which ones reached
+    the allocator.
+    """
+    states = AreaStates(requests.sparkSession, states_path)
 
-    run_to_end(allocator_stream(areas, requests, registry), write, checkpoint, partitions=partitions)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        step = step_of(batch.persist(), states.before(batch_id))
+        snapshot = step.before.withColumn("seq", F.lit(BEFORE))
+        decided = prefilter.decide(step.requests, snapshot, registry)
+        admitted = F.col("state") == "PROCESSING"
+        allocation = allocate(decided.withColumn("admitted", admitted), step.areas(), admitted, registry)
+        write_batch(settle(allocation.results()), final_path, batch_id)
+        write_batch(step.changes(allocation), changes_path, batch_id)
+        states.write(allocation.final_areas(), batch_id)
+        batch.unpersist()
+
+    run_to_end(tagged(areas, requests), write, checkpoint)

@@ -1,32 +1,90 @@
-"""Lookups that wait, as a stream-stream join with a deadline."""
+"""Lookups that wait, as a stateful stream keyed by reservation id."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnstile.operators.lookup import WAIT_SECONDS
 
+_ANSWER = "reservation_id string, ask_us bigint, outcome_us bigint, timed_out boolean"
+
+
+class Waiting(StatefulProcessor):
+    """Holds an id's first outcome, however old, and its asks that wait.
+
+    Times are microseconds.  An ask is answered once: by an outcome that is
+    known by its deadline, at the latest when the watermark passes that.
+    """
+
+    def __init__(self, wait_us: int):
+        self.wait_us = wait_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "us bigint")
+        self.asks = handle.getMapState("asks", "us bigint", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = self.first.get()[0] if self.first.exists() else None
+        for r in rows:
+            if r["outcome_us"] is not None:
+                first = r["outcome_us"] if first is None else min(first, r["outcome_us"])
+            else:
+                at = (r["ask_us"],)
+                n = self.asks.getValue(at)[0] if self.asks.containsKey(at) else 0
+                self.asks.updateValue(at, (n + 1,))
+                # Timers are in milliseconds and fire once the watermark is past them.
+                self.handle.registerTimer((r["ask_us"] + self.wait_us) // 1000 + 1)
+        if first is not None:
+            self.first.update((first,))
+        yield from self._answer(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._answer(key, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+
+    def _answer(self, key, passed_us: int) -> Iterator[Row]:
+        """Asks whose answer can no longer change: the deadline is over, or no earlier outcome can come."""
+        first = self.first.get()[0] if self.first.exists() else None
+        for (at,), (n,) in list(self.asks.iterator()):
+            deadline = at + self.wait_us
+            if passed_us <= deadline and (first is None or passed_us <= first):
+                continue
+            found = first if first is not None and first <= deadline else None
+            for _ in range(n):
+                yield Row(reservation_id=key[0], ask_us=at, outcome_us=found, timed_out=found is None)
+            self.asks.removeKey((at,))
+
+    def close(self) -> None:
+        pass
+
 
 def lookup_or_wait_stream(
-    asks: DataFrame,
-    outcomes: DataFrame,
-    wait: int = WAIT_SECONDS,
-    retention: str = "60 seconds",
-    lateness: str = "5 seconds",
+    asks: DataFrame, outcomes: DataFrame, wait: int = WAIT_SECONDS, lateness: str = "5 seconds"
 ) -> DataFrame:
-    """Asks with their outcome, or timed out once the watermark passes the deadline.
+    """Each ask once, with the first outcome of its id or timed out, as :func:`lookup_or_wait` answers it.
 
-    Outcomes are kept for ``retention``; an ask for an older one has to be
-    looked up in the reservation table.
+    Outcomes may be any age.  Rows may be late by ``lateness``.
     """
-    asked = asks.select(F.col("reservation_id").alias("_id"), "ask_ts").withWatermark("ask_ts", lateness)
-    known = outcomes.withWatermark("outcome_ts", lateness)
-    condition = (
-        (F.col("_id") == F.col("reservation_id"))
-        & (F.col("outcome_ts") <= F.col("ask_ts") + F.expr(f"interval {wait} seconds"))
-        & (F.col("outcome_ts") >= F.col("ask_ts") - F.expr(f"interval {retention}"))
+    at = F.col("at")
+    both = asks.select("reservation_id", F.col("ask_ts").alias("at"), F.lit(True).alias("asks")).unionByName(
+        outcomes.select("reservation_id", F.col("outcome_ts").alias("at"), F.lit(False).alias("asks"))
+    )
+    timed = both.withWatermark("at", lateness).select(
+        "reservation_id",
+        "at",
+        F.when(F.col("asks"), F.unix_micros(at)).alias("ask_us"),
+        F.when(~F.col("asks"), F.unix_micros(at)).alias("outcome_us"),
+    )
+    answers = timed.groupBy("reservation_id").transformWithState(
+        Waiting(wait * 1_000_000), _ANSWER, "Append", "EventTime"
     )
-    return asked.join(known, condition, "leftOuter").select(
-        F.col("_id").alias("reservation_id"), "ask_ts", "outcome_ts", F.col("outcome_ts").isNull().alias("timed_out")
+    return answers.select(
+        "reservation_id",
+        F.timestamp_micros("ask_us").alias("ask_ts"),
+        F.timestamp_micros("outcome_us").alias("outcome_ts"),
+        "timed_out",
     )
