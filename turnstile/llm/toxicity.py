@@ -34,9 +34,9 @@ from turnstile.llm.text import scratch
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 9_000
 MAX_FEATURES = 20_000
-MIN_POSITIVE_TEXTS = 2
-#: A feature is kept if it is so many times as frequent among positives as among unlabelled texts.
-MIN_LIFT = 1.5
+#: A feature is kept if it is so many times as frequent among positives as among unlabelled texts, and if that is no
+#: accident: so many nats of evidence (Poisson), with the unlabelled count raised by ``SMOOTHING``.
+MIN_LIFT, MIN_EVIDENCE, SMOOTHING = 2.0, 10.0, 3
 BEGINNINGS = (5, 6, 7, 8)
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 REMEMBERED = 600_000
@@ -132,9 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
         return Model({}, float(np.log(prior / (1 - prior))))
     counts = sample.mapInArrow(_frequencies, "feature bigint, p bigint, u bigint")
     counts = counts.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    rate_p, rate_u = F.col("p") / n_p, (F.col("u") + 1) / n_u
-    useful = counts.where((F.col("p") >= MIN_POSITIVE_TEXTS) & (rate_p >= MIN_LIFT * rate_u))
-    top = useful.orderBy(F.desc(F.col("p") * F.log(rate_p / rate_u)), "feature").limit(MAX_FEATURES)
+    p, expected = F.col("p"), n_p * (F.col("u") + SMOOTHING) / n_u
+    evidence = p * F.log(p / expected) - (p - expected)
+    useful = counts.where((p >= MIN_LIFT * expected) & (evidence >= MIN_EVIDENCE))
+    top = useful.orderBy(F.desc(evidence), "feature").limit(MAX_FEATURES)
     place = {r["feature"]: i for i, r in enumerate(top.select("feature").collect())}
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
