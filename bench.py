@@ -11,9 +11,13 @@ import json
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from turnstile.operators import prefilter, projections, report
 from turnstile.operators.allocate import allocate
 from turnstile.plans import queries as Q
+from turnstile.plans.reservations import reservation_flow
+from turnstile.plans.stream_queries import PIECES, STREAMS
 from turnstile.session import build_session
 from turnstile.sources import driver_tables as D
 
@@ -23,6 +27,17 @@ def fold_only(spark, sf):
     return allocate(D.line_requests(spark, sf), D.supplier_areas(spark, sf)).states
 
 
+def mixed_hot(spark, sf):
+    """All requests, random and hand-picked, in one large area."""
+    area = F.lit("hot")
+    requests = D.requests(spark, sf).withColumns({"event_id": area, "area_id": area, "event_area_id": F.lit("hot#hot")})
+    areas = D.areas(spark, sf).limit(1).withColumns(
+        {"event_id": area, "area_id": area, "event_area_id": F.lit("hot#hot"),
+         "row_count": F.lit(60), "col_count": F.lit(60)}
+    )
+    return reservation_flow(requests, areas, projections.area_status(areas))
+
+
 def line_selectivity(spark, sf):
     areas = D.supplier_areas(spark, sf)
     return report.selectivity(prefilter.decide(D.line_requests(spark, sf), projections.area_status(areas)))
@@ -41,6 +56,8 @@ QUERIES = {
     "latency_percentiles": Q.BATCH["latency_percentiles"],
     "rate_tumbling": Q.BATCH["rate_tumbling"],
     "seats_rollup": Q.BATCH["seats_rollup"],
+    "mixed_hot_area": mixed_hot,
+    "stream_reservation_flow": STREAMS["stream_reservation_flow"],
 }
 
 
@@ -79,6 +96,7 @@ def main() -> None:
                     name: round(requests / seconds[name], 1)
                     for name in ("line_item_flow", "line_item_flow_hot", "line_item_fold")
                 },
+                "stream_seconds_per_batch": round(seconds["stream_reservation_flow"] / PIECES, 3),
             }
         )
     )
