@@ -34,11 +34,6 @@ def is_free(grid: Column, seat: Column, col_count: Column) -> Column:
     return F.substr(grid, at, F.lit(1)) == "1"
 
 
-def has_run(grid: Column, length: Column) -> Column:
-    """Whether ``length`` adjacent seats of one row are free."""
-    return F.contains(grid, F.repeat(F.lit("1"), length))
-
-
 def indices(count: Column) -> Column:
     """``[0 .. count-1]``; ``sequence`` alone would count down for zero."""
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(

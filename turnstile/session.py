@@ -51,12 +51,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Write ``df`` to the shared checkpoint folder and read it back from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_once(df, ddl: str, name: str):
     """Write ``df`` to a table of its own in the shared folder and return the table."""
     path = scratch_path(df.sparkSession, name)
