@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnstile.llm import language, queries, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -121,17 +121,19 @@ def test_non_negative_risk_finds_hidden_positives():
 
 
 def test_toxicity_of_held_out_rows(spark):
-    got = {r["doc_id"]: r for r in queries.op3_toxicity(spark, SF).collect()}
-    assert len(got) == queries.table(spark, SF, "documents").count()
+    """On the larger table: the small one has six toxic rows among those held out."""
+    got = {r["doc_id"]: r for r in queries.op3_toxicity(spark, LARGER).collect()}
+    assert len(got) == queries.table(spark, LARGER, "documents").count()
     toxic, clean = [], []
-    for r in queries.table(spark, SF, "labels").collect():
+    for r in queries.table(spark, LARGER, "labels").collect():
         row = got[r["doc_id"]]
         assert row["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= row["score"] <= 1 and row["predicted"] == int(row["score"] >= 0.5)
         if row["held_out"]:
             (toxic if r["toxic"] else clean).append(row["score"])
-    better = np.mean([t > c for t in toxic for c in clean])
-    assert better > 0.9 and np.mean(np.array(clean) >= 0.5) < 0.06
+    better = np.mean([(t > c) + (t == c) / 2 for t in toxic for c in clean])
+    assert better > 0.95
+    assert np.mean(np.array(toxic) >= 0.5) > 0.9 and np.mean(np.array(clean) >= 0.5) < 0.02
 
 
 def test_toxicity_of_odd_tables(spark):

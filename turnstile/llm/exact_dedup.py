@@ -29,12 +29,13 @@ OUT = "keep_id bigint, group_size bigint, is_first boolean, text_sha256 string,
 
 def content_sorted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` and its normalised text in ``_llm_norm``, equal texts adjacent, by id within them."""
-    norm = F.regexp_replace(whole_text(text), SPACE + "+", " ")
-    named = docs.withColumn("_llm_norm", norm)
-    order = [F.substring("_llm_norm", 1, SPLITTER_CHARS), F.sha2("_llm_norm", 256), F.col(key).asc_nulls_last()]
-    tagged = named.withColumns({"_llm_a": order[0], "_llm_b": order[1]})
-    by = [F.col("_llm_a"), F.col("_llm_b"), order[2]]
-    return tagged.repartitionByRange(*by).sortWithinPartitions(by[0], by[1], "_llm_norm", by[2])
+    tagged = docs.withColumn("_llm_norm", F.regexp_replace(whole_text(text), SPACE + "+", " ")).withColumns(
+        {"_llm_start": F.substring("_llm_norm", 1, SPLITTER_CHARS), "_llm_digest": F.sha2("_llm_norm", 256)}
+    )
+    last = F.col(key).asc_nulls_last()
+    return tagged.repartitionByRange("_llm_start", "_llm_digest", last).sortWithinPartitions(
+        "_llm_start", "_llm_digest", "_llm_norm", last
+    )
 
 
 def _groups(batch: pa.RecordBatch) -> np.ndarray:
