@@ -152,7 +152,7 @@ def stream_prefilter(spark, sf):
     stream = stream_files(spark, f"{base}/requests", requests.schema, 1)
     snapshot = D.pinned_snapshot(spark, sf)
     run_intake(
-        stream, lambda: snapshot, f"{base}/created", f"{base}/reserve", f"{base}/final", f"{base}/checkpoint"
+        stream, lambda batch_id: snapshot, f"{base}/created", f"{base}/reserve", f"{base}/final", f"{base}/checkpoint"
     )
     passed = logs.read_batches(spark, f"{base}/reserve").select(
         "reservation_id", "event_area_id", F.lit("PROCESSING").alias("state"), F.lit("").alias("failed_reason")

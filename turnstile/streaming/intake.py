@@ -16,21 +16,24 @@ from turnstile.streaming.runtime import run_to_end
 
 def run_intake(
     requests: DataFrame,
-    snapshot: Callable[[], DataFrame],
+    snapshot: Callable[[int], DataFrame],
     created_path: str,
     reserve_path: str,
     final_path: str,
     checkpoint: str,
     registry: dict[str, Strategy] = STRATEGIES,
 ) -> None:
-    """Each batch is decided against the snapshot as it is when the batch starts.
+    """Each batch is decided against the snapshot that ``snapshot`` gives for its number.
+
+    It has to be the same one whenever it is asked for, so that a batch that is
+    run again decides as before; ``AreaStates.before`` of the allocator is such.
 
     Writes every reservation, the requests for the allocator, and the
     reservations that are final already.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decided = prefilter.decide(batch, snapshot(), registry).persist()
+        decided = prefilter.decide(batch, snapshot(batch_id), registry).persist()
         write_batch(decided, created_path, batch_id)
         write_batch(reserve_requests(route(decided, "processing")), reserve_path, batch_id)
         write_batch(route(decided, "processed"), final_path, batch_id)
