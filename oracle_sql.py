@@ -78,10 +78,14 @@ times AS (
 
 WAITS = """
 asks AS (SELECT 'r-' || event_id AS reservation_id, ts AS ask_ts FROM events),
+own AS (
+  SELECT event_id, epoch_us(ts) + ((props->>'$.k')::BIGINT - 50) * 400000 AS us FROM events WHERE event_id % 17 <> 0),
 outcomes AS (
-  SELECT 'r-' || event_id AS reservation_id,
-         make_timestamp(epoch_us(ts) + ((props->>'$.k')::BIGINT - 50) * 400000) AS outcome_ts
-  FROM events WHERE event_id % 17 <> 0)"""
+  SELECT 'r-' || event_id AS reservation_id, make_timestamp(min(us)) AS outcome_ts FROM (
+    SELECT event_id, us FROM own
+    UNION ALL SELECT event_id, us + 7000000 FROM own WHERE event_id % 3 = 0
+    UNION ALL SELECT event_id, us - 3600000000 FROM own WHERE event_id % 5 = 0)
+  GROUP BY event_id)"""
 
 DECIDED = """
 decided AS (
@@ -441,6 +445,8 @@ FROM (SELECT count(*) + count(*) FILTER (post_status = 200 AND get_status IS NOT
       FROM (SELECT *, post_status = 200 AND get_status IS NOT NULL AND get_status = 200 AS done,
                    CASE WHEN post_status = 200 AND get_status = 200 THEN response_ms END AS d FROM times))""",
     "rate_tumbling": RATE_TUMBLING,
+    "rate_tumbling_hourly": ctes(TIMES)
+    + "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n FROM times GROUP BY ALL",
     "duration_percentile_tumbling": ctes(TIMES) + """
 SELECT date_trunc('hour', ts) AS window_start, round(quantile_cont(response_ms, 0.95), 6) AS duration_ms, count(*) AS n
 FROM times GROUP BY ALL""",

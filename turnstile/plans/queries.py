@@ -599,6 +599,12 @@ def rate_tumbling(spark, sf):
     return report.tumbling_rate(D.timings(spark, sf))
 
 
+@query
+def rate_tumbling_hourly(spark, sf):
+    """Windows that hold many rows each."""
+    return report.tumbling_rate(D.timings(spark, sf), width="1 hour")
+
+
 @query
 def duration_percentile_tumbling(spark, sf):
     return report.tumbling_percentile(D.timings(spark, sf), report.response_ms(), width="1 hour")

@@ -189,15 +189,17 @@ def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes from 20 s before to 20 s after the ask; some ids never get one."""
+    """Outcomes from 20 s before to 20 s after the ask; some ids get none, others a second one or one an hour old."""
     k = F.get_json_object("props", "$.k").cast("int")
+    n, own = F.col("event_id"), F.unix_micros("ts") + (k - 50) * 400_000
+    times = F.array_compact(
+        F.array(own, F.when(n % 3 == 0, own + 7_000_000), F.when(n % 5 == 0, own - 3_600_000_000))
+    )
     return (
         table(spark, sf_dir, "events")
-        .where(F.col("event_id") % 17 != 0)
-        .select(
-            F.concat(F.lit("r-"), F.col("event_id").cast("string")).alias("reservation_id"),
-            F.timestamp_micros(F.unix_micros("ts") + (k - 50) * 400_000).alias("outcome_ts"),
-        )
+        .where(n % 17 != 0)
+        .select(F.concat(F.lit("r-"), n.cast("string")).alias("reservation_id"), F.explode(times).alias("us"))
+        .select("reservation_id", F.timestamp_micros("us").alias("outcome_ts"))
     )
 
 

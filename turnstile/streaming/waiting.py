@@ -70,10 +70,11 @@ def lookup_or_wait_stream(
     Outcomes may be any age.  Rows may be late by ``lateness``.
     """
     at = F.col("at")
-    both = asks.select("reservation_id", F.col("ask_ts").alias("at"), F.lit(True).alias("asks")).unionByName(
-        outcomes.select("reservation_id", F.col("outcome_ts").alias("at"), F.lit(False).alias("asks"))
-    )
-    timed = both.withWatermark("at", lateness).select(
+    # Each stream has its own watermark; the slower one holds for both.
+    asked = asks.select("reservation_id", F.col("ask_ts").alias("at"), F.lit(True).alias("asks"))
+    known = outcomes.select("reservation_id", F.col("outcome_ts").alias("at"), F.lit(False).alias("asks"))
+    both = asked.withWatermark("at", lateness).unionByName(known.withWatermark("at", lateness))
+    timed = both.select(
         "reservation_id",
         "at",
         F.when(F.col("asks"), F.unix_micros(at)).alias("ask_us"),
