@@ -4,12 +4,12 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from turnstile.functions.asof import asof_by_array, asof_by_stretch, asof_single
+from turnstile.functions.asof import asof_join
 from turnstile.operators import report
 from turnstile.sources import ingest, logs
 
 
-def test_asof_joins_agree_with_brute_force(spark):
+def test_asof_join_agrees_with_brute_force(spark):
     rnd = random.Random(1)
     versions = list({(rnd.choice("aab"), rnd.randint(0, 300)): None for _ in range(60)})
     rows = [(i, rnd.choice("aabc"), rnd.randint(-5, 310)) for i in range(300)]
@@ -19,16 +19,18 @@ def test_asof_joins_agree_with_brute_force(spark):
     for i, key, at in rows:
         past = [p for k, p in versions if k == key and p <= at]
         expected[i] = f"{key}{max(past)}" if past else None
-    assert {x["id"]: x["v"] for x in asof_by_array(r, v, "k", "pos", "at").collect()} == expected
-    for width in (1, 16, None):
-        got = asof_by_stretch(r, v, "k", "pos", "at", width=width)
-        assert {x["id"]: x["v"] for x in got.collect()} == expected
+    for threshold in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert {x["id"]: x["v"] for x in asof_join(r, v, "k", "pos", "at").collect()} == expected
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_single_version_hides_later_areas(spark):
     v = spark.createDataFrame([("a", 5, "x")], "k string, pos bigint, v string")
     r = spark.createDataFrame([(1, "a", 4), (2, "a", 5), (3, "b", 9)], "id int, k string, at bigint")
-    got = {x["id"]: x["v"] for x in asof_single(r, v, "k", "pos", "at").collect()}
+    got = {x["id"]: x["v"] for x in asof_join(r, v, "k", "pos", "at").collect()}
     assert got == {1: None, 2: "x", 3: None}
 
 
