@@ -21,7 +21,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines",
     "exclamations": "10 * n_exclaims > n_words",
     "capitals": "2 * n_upper > word_chars",
     "short_words": "word_chars < 2 * n_words",
