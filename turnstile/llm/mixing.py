@@ -162,7 +162,10 @@ def _select(dealt: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix as rows: each row of ``docs`` as often as its words are taken, to the nearest whole number of times."""
+    """The mix as rows: each row of ``docs`` as often as its words are taken, to the nearest whole number of times.
+
+    Rows that agree in id, source and size are told apart nowhere: each comes as often as the one that is taken most.
+    """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     plan = mix(docs).select(F.col("doc_id").alias("_llm_id"), F.col("source").alias("_llm_s"), "size", times.alias("_llm_n"))
     return _repeat(docs, plan)
