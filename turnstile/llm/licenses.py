@@ -35,7 +35,8 @@ mit|mit||mit
 mit-0|mit||mit (?:no attribution|0)
 apache|apache|1 0;1 1;2 0|apache
 gpl|general public|1;2;3|(?:gnu )?general public
-lgpl|lesser|2;2 1;3|(?:gnu )?(?:lesser|library) general public
+lgpl|lesser|2;2 1;3|(?:gnu )?lesser general public
+lgpl|library general|2;2 1;3|(?:gnu )?library general public
 agpl|affero|1;3|(?:gnu )?affero general public
 fdl|documentation|1 1;1 2;1 3|(?:gnu )?free documentation
 mpl|mozilla|1 0;1 1;2 0|mozilla public
@@ -125,7 +126,7 @@ CLAUSES = r"""
 40|proprietary|proprietary|(?:proprietary and confidential|confidential and proprietary)
 40|non-commercial|non commercial|for non commercial use only
 40|research-only|research purposes|for (?:academic |non commercial )?research purposes only
-40|no-redistribution|redistribution|(?:redistribution is|may not be redistributed|no redistribution)
+40|no-redistribution|redistribut|(?:redistribution is|may not be redistributed|no redistribution)
 """
 
 #: Priority -> score: what a rule of that priority says on its own.
