@@ -106,3 +106,18 @@ def pieces(ids, limit=1024):
     return [
         (i, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
     ]
+
+
+def without_near_copies(rows):
+    """Sorted ids that stay, of (doc_id, text) with distinct ids: Jaccard 0.8 on five-word shingles, all pairs."""
+    rows = sorted(rows)
+    sets, root = [], list(range(len(rows)))
+    for _, text in rows:
+        words = [w.lower() for w in WORD.findall(text or "")]
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return [d for i, (d, _) in enumerate(rows) if root[i] == i]

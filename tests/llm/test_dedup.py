@@ -65,7 +65,6 @@ def test_empty_tables(spark):
     assert exact_dedup.duplicate_groups(none).count() == 0
     assert exact_dedup.drop_duplicates(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.drop_near_duplicates(none).count() == 0
 
 
 def test_hash_and_fingerprint():
@@ -122,8 +121,6 @@ def test_near_duplicates_on_driver_rows(spark):
     expected = {(r["doc_id"], f"{p:016x}", least[r["doc_id"]]) for r, p in zip(rows, prints)}
     got = simhash.near_duplicates(table).collect()
     assert len(got) == len(rows) and {tuple(r) for r in got} == expected
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()}
-    assert kept == {d for d, c in least.items() if d == c}
 
 
 def test_near_duplicates_of_nulls_ties_and_repeated_rows(spark):

@@ -108,8 +108,96 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+#: As many levels as trees of 16^6 documents and 16^4 sources have; levels above a root hand it on.
+_DOC_LEVELS, _SOURCE_LEVELS = 6, 4
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text, bit by bit: each character and seven more steps."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))"
+    return f"xor(list_reduce({bits}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    joined = " || ".join(f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in fields)
+    return f"sha256({joined})"
+
+
+def _levels(name: str, levels: int) -> str:
+    """From ``{name}0`` (s, i, n, d: tree, index, nodes, digest) and ``{name}f0`` (r, s, i, now, proof) upwards."""
+    run = "PARTITION BY s, i // 16 ORDER BY i ROWS BETWEEN"
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}x{k} AS (
+  SELECT s, i, n, d,
+         CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+         CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS g
+  FROM {name}{k}
+), {name}{k + 1} AS (
+  SELECT s, i // 16 AS i, (n + 15) // 16 AS n,
+         CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d
+  FROM {name}{k} GROUP BY s, i // 16, n
+), {name}f{k + 1} AS (
+  SELECT r, s, i // 16 AS i, CASE WHEN n > 1 THEN sha256(l || now || g) ELSE now END AS now, proof || l || g AS proof
+  FROM {name}f{k} JOIN {name}x{k} USING (s, i)
+),""")
+    return "".join(out)
+
+
+MANIFEST = f"""
+WITH names AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM (SELECT DISTINCT source FROM documents)
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, s, {_leaf("text")} AS leaf,
+         CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '')")} % 5 = 0
+              THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+              ELSE {_leaf("text")} END AS tried
+  FROM (SELECT d.*, s FROM documents d JOIN names ON d.source IS NOT DISTINCT FROM names.source)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n
+  FROM docs
+), a0 AS (SELECT s, i, n, leaf AS d FROM placed), af0 AS (SELECT r, s, i, tried AS now, '' AS proof FROM placed),
+{_levels("a", _DOC_LEVELS)}
+t0 AS (SELECT 0 AS s, s AS i, count(*) OVER () AS n, d FROM a{_DOC_LEVELS}),
+tf0 AS (SELECT r, 0 AS s, s AS i, now, proof FROM af{_DOC_LEVELS}),
+{_levels("t", _SOURCE_LEVELS)}
+found AS (SELECT d AS root FROM t{_SOURCE_LEVELS})
+SELECT p.doc_id, leaf, a.d AS subroot, root, sha256(proof) AS proof_sha256, now AS folded_root, now = root AS verified
+FROM placed p JOIN a{_DOC_LEVELS} a ON a.s = p.s JOIN tf{_SOURCE_LEVELS} f ON f.r = p.r, found
+"""
+
+NEGATIVES = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+), parts AS (
+  SELECT r, vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM rows
+), scores AS (
+  SELECT a.r AS a, b.r AS b, any_value(a.vec_id) AS anchor_id, any_value(b.vec_id) AS vec_id,
+         any_value(a.label = b.label) AS alike, sum(a.x * b.x)::BIGINT AS score
+  FROM parts a JOIN parts b ON a.k = b.k AND a.r <> b.r WHERE a.vec_id % 100 = 0 GROUP BY a.r, b.r
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) AS p FROM scores WHERE alike)
+  WHERE p <= 5
+), negatives AS (
+  SELECT p.a, p.p, p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
+         n.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.score DESC, n.vec_id, n.b) AS rank
+  FROM positives p JOIN scores n ON n.a = p.a AND NOT n.alike
+  WHERE 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op4_quality_rules": QUALITY,
     "op9_source_mix": MIX,
+    "op11_merkle_manifest": MANIFEST,
+    "op13_hard_negatives": NEGATIVES,
     "op10_exact_dedup": EXACT,
 }

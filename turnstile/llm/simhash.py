@@ -139,9 +139,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = scratch(fingerprints(docs), "prints")
     joined = prints.join(grouped(prints), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, with their columns; rows without an id stay."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_llm_gone"))
-    return docs.join(found.distinct(), F.col("doc_id") == F.col("_llm_gone"), "left_anti")
