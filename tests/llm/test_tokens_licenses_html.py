@@ -2,7 +2,9 @@
 
 import html as html_lib
 import math
+import random
 import re
+import time
 
 import pytest
 import regex
@@ -185,6 +187,97 @@ def test_html_regions():
     assert html_text.main_text("<p>" * 3000 + "deep") == "deep"
 
 
+def paragraphs(n, text=LONG):
+    return "".join(f"<p>{i} {text}</p>" for i in range(n))
+
+
+def blocks_of(n, text=LONG):
+    return [f"{i} {text}".strip() for i in range(n)]
+
+
+CARD = "<article><h3>Another headline here</h3><p>" + "A teaser of some words. " * 6 + "</p></article>"
+REGIONS = {
+    "cards after a text in a div": (f"<div>{paragraphs(6)}</div>{CARD * 3}", blocks_of(6)),
+    "cards within the text's div": (f"<div>{paragraphs(6)}{CARD * 3}</div>", blocks_of(6)),
+    "cards after an article": (f"<article>{paragraphs(6)}</article>{CARD * 3}", blocks_of(6)),
+    "two articles of like size": (f"<article>{paragraphs(3)}</article><article>{paragraphs(2)}</article>", blocks_of(3) + blocks_of(2)),
+    "a layout's class on the text": (f'<div class="content sidebar-right">{paragraphs(4)}</div>', blocks_of(4)),
+    "a form around the page": (f"<form id=aspnet><div>{paragraphs(4)}</div><input></form>", blocks_of(4)),
+    "short paragraphs after long ones": (f"<div>{paragraphs(3)}{paragraphs(6, 'Short.')}</div>", blocks_of(3) + blocks_of(6, "Short.")),
+    "short paragraphs before long ones": (f"<div>{paragraphs(4, 'Short.')}{paragraphs(3)}</div>", blocks_of(4, "Short.") + blocks_of(3)),
+    "words that only look like hints": (
+        f'<article>{paragraphs(2)}<p class="share-price">Up 3.</p><div class="ad-free">No adverts.</div></article>',
+        blocks_of(2) + ["Up 3.", "No adverts."],
+    ),
+    "hints with words beside them": (
+        f'<article>{paragraphs(2)}<div class="share-buttons">Tweet</div><div id="post-comments">{paragraphs(9)}</div></article>',
+        blocks_of(2),
+    ),
+    "a heading before the text": (f"<div><h1>Head</h1><div>{paragraphs(3)}</div></div><div>&copy; all of us</div>", ["Head"] + blocks_of(3)),
+    "a small side bar": (f'<div>{paragraphs(3)}</div><div class="sidebar">{paragraphs(1)}</div>', blocks_of(3)),
+    "paragraphs in divs of their own": ("".join(f"<div>{x}</div>" for x in blocks_of(5)), blocks_of(5)),
+    "an unclosed comment": (f"<div>{paragraphs(2)}<!-- {paragraphs(1)}</div>", blocks_of(2) + blocks_of(1)),
+    "conditional markup": (f"<![if IE]><div>{paragraphs(2)}</div><![endif]>", blocks_of(2)),
+    "a page that ends in a tag": (f"<div>{paragraphs(2)}</div><a href='x", blocks_of(2)),
+}
+
+
+@pytest.mark.parametrize("name", REGIONS)
+def test_html_pages_of_all_kinds(name):
+    body, expected = REGIONS[name]
+    got = html_text.main_text(f"<html><body><nav>Menu</nav>{body}<footer>Foot</footer></body></html>")
+    assert got.split("\n\n")[: len(expected)] == expected
+    assert len(got.split("\n\n")) == len(expected) or name == "a page that ends in a tag"
+
+
+@pytest.mark.parametrize(
+    "page", ["<b></i>" * 100_000, "<!--" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<p>" + "<b>" * 50_000 + "<li>" * 50_000,
+             "<a " * 100_000, "<div>" * 50_000, "<?" * 100_000, "<div class=sidebar>" * 5_000 + "x" + "</p>" * 50_000]
+)
+def test_html_work_grows_with_length(page):
+    began = time.process_time()
+    html_text.main_text(page + "<p>end")
+    assert time.process_time() - began < 10
+
+
+def slow_region(lines):
+    """The rule on usable lines again, by definition: a container's lines are looked up by every pair."""
+    total = sum(len(x.text) for x in lines if not x.always)
+    wraps = lambda e: 2 * sum(len(x.text) for x in lines if not x.always and e in x.layout) > total
+    usable = [i for i, x in enumerate(lines) if x.text and not x.always and all(map(wraps, x.layout))]
+    ratio = [len(x.text) / max(1, x.tags) if i in usable else 0.0 for i, x in enumerate(lines)]
+    weight = [math.exp(-(k**2) / 8) for k in range(-2, 3)]
+    level = [sum(w * ratio[i + k] for k, w in zip(range(-2, 3), weight) if 0 <= i + k < len(lines)) / sum(weight) for i in range(len(lines))]
+    mean = sum(ratio) / len(ratio)
+    above = [i for i in usable if level[i] > 0.5 * math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))] or usable
+    size = {a: sum(len(lines[i].text) for i in above if lines[i].article == a) for a in {lines[i].article for i in above}}
+    best = max(size, key=lambda a: (size[a], a))
+    if best >= 0:
+        return [lines[i].text for i in usable if lines[i].article >= 0 and 3 * size.get(lines[i].article, 0) >= size[best]]
+    inner = [c for c in {c for x in lines for c in x.containers}
+             if sum(len(lines[i].text) for i in above if lines[i].article < 0 and c in lines[i].containers) >= 0.8 * size[-1]]
+    inside = [i for i, x in enumerate(lines) if x.article < 0 and (not inner or max(inner) in x.containers)]
+    first = inside[0]
+    while first and (not lines[first - 1].text or first - 1 in usable and lines[first - 1].heading and lines[first - 1].article < 0):
+        first -= 1
+        inside.append(first)
+    return [lines[i].text for i in usable if i in inside]
+
+
+def test_html_region_matches_a_slow_twin():
+    rng = random.Random(6)
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 25)):
+            words = "word " * rng.choice([0, 1, 3, 30, 90])
+            tag = rng.choice(["p", "p", "p", "li", "div", "h2", "section", "article", "form", 'div class="sidebar"', 'div class="ad"', "nav"])
+            parts.append(f"<{tag}>{words}" + (f"</{tag.split()[0]}>" if rng.random() < 0.7 else ""))
+        page = "".join(parts)
+        lines = html_text.Lines().read(page)
+        usable = html_text.main_text(page)
+        assert usable == ("\n\n".join(slow_region(lines)) if usable else "")
+
+
 def test_html_on_driver_pages(spark):
     table = spark.read.parquet(f"{SF}/pages.parquet").withColumn("text", F.lit("clash"))
     found = {r["page_id"]: r for r in html_text.extract_text(table).collect()}

@@ -5,13 +5,17 @@ all words; none gets more than ``REPEATS`` times its own, and what is above goes
 water level over the ratio of ceiling to weight, found with running sums over one row per source.
 
 Quotas: the mix is a number of blocks of ``BLOCK_WORDS`` words.  Blocks go to the sources with the highest quotients
-target / (2k - 1), then within a source in the same way to its shards, by their words.  The total bounds each one's number
-of seats from both sides, so only the quotients between these bounds (about four per party) are ranked, never all blocks.
+target / (2k - 1), then within a source in the same way to bundles of shards, and from a bundle to its shards, by their
+words.  The total bounds each one's number of seats from both sides, so only the quotients between these bounds (about four
+per party) are ranked, never all blocks.  At each step what blocks leave of the words to give out, more or less than a
+block for each party, and what is above twice a party's words, is filled in or taken back party by party.  So each source's
+words are its target to the word, however small it is.
 
 Selection: a source's documents are dealt over shards of about ``SHARD_DOCS`` by a seeded digest of their id, and lie in a
 shard in seeded order.  A quota takes the shard's words from the front, as often as it goes around; the last document may
-be taken in part.  The seed decides, so reruns agree.  Only ids and sizes are shuffled, never texts, and the largest group
-that meets in one task is a shard.
+be taken in part.  The seed decides, so reruns agree.  Only ids and sizes are shuffled, never texts.  What meets in one task
+is the documents of a shard, the shards of a bundle (``BUNDLE``), or the bundles of a source: one for ``SHARD_DOCS`` times
+``BUNDLE`` documents.
 
 Null texts have no words and are taken 0 times; a null source is a source.  Repeated rows are documents of their own.  An
 empty table gives an empty result.
@@ -29,6 +33,7 @@ SHARE_HALVES = 3
 REPEATS = 2
 BLOCK_WORDS = 128
 SHARD_DOCS = 1_000
+BUNDLE = 1_000
 SEED = "mix-1"
 
 
@@ -99,6 +104,23 @@ def apportion(parties: DataFrame, group: list[str], party: list[Column], votes:
     return ranked.groupBy(*kept).agg((F.first("_llm_low") + won).cast("long").alias(out))
 
 
+def allot(parties: DataFrame, group: list[str], party: str, size: str, blocks: str, words: str, out: str) -> DataFrame:
+    """``parties`` with ``out``: of the group's ``words``, what goes to the party, in proportion to its ``size``.
+
+    ``blocks`` of them by apportionment, none above ``REPEATS`` times its size; the difference party by party.
+    """
+    dealt = apportion(parties, group, [F.col(party)], size, blocks, "_llm_won")
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(party).rowsBetween(Window.unboundedPreceding, -1)
+    most = REPEATS * F.col(size)
+    dealt = dealt.withColumn("_llm_cut", F.least(F.col("_llm_won") * BLOCK_WORDS, most))
+    dealt = dealt.withColumn("_llm_rest", F.col(words) - F.sum("_llm_cut").over(whole))
+    dealt = dealt.withColumn("_llm_room", F.when(F.col("_llm_rest") > 0, most - F.col("_llm_cut")).otherwise(F.col("_llm_cut")))
+    left = F.abs("_llm_rest") - F.coalesce(F.sum("_llm_room").over(before), F.lit(0))
+    change = F.signum("_llm_rest").cast("long") * F.least(F.col("_llm_room"), F.greatest(left, F.lit(0)))
+    return dealt.select(*parties.columns, (F.col("_llm_cut") + change).cast("long").alias(out))
+
+
 def _digest(key: Column) -> Column:
     return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(key.cast("string"), F.lit("null"))))
 
@@ -131,12 +153,21 @@ def mix(docs: DataFrame) -> DataFrame:
         "doc_id", "source", "size", "source_size", "target", (place % F.col("n_shards")).alias("shard"), digest.alias("at")
     )
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    blocks = plan.select(F.col("source").alias("_llm_s"), "source_blocks")
-    shards = shards.join(blocks, F.col("source").eqNullSafe(F.col("_llm_s"))).drop("_llm_s")
-    shards = apportion(shards, ["source"], [F.col("shard")], "shard_size", "source_blocks", "shard_blocks")
-    words = F.least(F.col("shard_blocks") * BLOCK_WORDS, REPEATS * F.col("shard_size"))
-    shards = scratch(shards.select("source", "shard", "shard_size", words.alias("words")), "mix-shards")
-    return _select(dealt, shards)
+    shards = scratch(shards.withColumn("bundle", F.floor(F.col("shard") / BUNDLE)), "mix-sizes")
+    bundles = shards.groupBy("source", "bundle").agg(F.sum("shard_size").alias("bundle_size"))
+    quota = plan.select(F.col("source").alias("_llm_s"), "source_blocks", F.round("target").cast("long").alias("source_words"))
+    bundles = bundles.join(quota, F.col("source").eqNullSafe(F.col("_llm_s"))).drop("_llm_s")
+    bundles = allot(bundles, ["source"], "bundle", "bundle_size", "source_blocks", "source_words", "bundle_words")
+    quota = bundles.select(
+        F.col("source").alias("_llm_s"),
+        F.col("bundle").alias("_llm_b"),
+        "bundle_words",
+        F.round(F.col("bundle_words") / BLOCK_WORDS).cast("long").alias("bundle_blocks"),
+    )
+    of_bundle = F.col("source").eqNullSafe(F.col("_llm_s")) & (F.col("bundle") == F.col("_llm_b"))
+    shards = shards.join(quota, of_bundle).drop("_llm_s", "_llm_b")
+    shards = allot(shards, ["source", "bundle"], "shard", "shard_size", "bundle_blocks", "bundle_words", "words")
+    return _select(dealt, scratch(shards.select("source", "shard", "shard_size", "words"), "mix-shards"))
 
 
 def _select(dealt: DataFrame, shards: DataFrame) -> DataFrame:
@@ -164,7 +195,7 @@ def _select(dealt: DataFrame, shards: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as rows: each row of ``docs`` as often as its words are taken, to the nearest whole number of times.
 
-    Rows that agree in id, source and size are told apart nowhere: each comes as often as the one that is taken most.
+    Rows that agree in id, source and size share what they are taken together, the first by the digest of their text more.
     """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     plan = mix(docs).select(F.col("doc_id").alias("_llm_id"), F.col("source").alias("_llm_s"), "size", times.alias("_llm_n"))
@@ -173,13 +204,20 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def _repeat(docs: DataFrame, plan: DataFrame) -> DataFrame:
     per_id = plan.groupBy("_llm_id", "_llm_s", F.col("size").alias("_llm_z")).agg(
-        F.max("_llm_n").alias("_llm_n")
-    ).where("_llm_n > 0")
+        F.sum("_llm_n").cast("int").alias("_llm_n"), F.count("*").alias("_llm_rows")
+    )
+    per_id = scratch(per_id.where("_llm_n > 0"), "mix-times")
     sized = docs.withColumn("_llm_size", n_words(whole_text()))
     same = (
         F.col("doc_id").cast("bigint").eqNullSafe(F.col("_llm_id"))
         & F.col("source").cast("string").eqNullSafe(F.col("_llm_s"))
         & (F.col("_llm_size") == F.col("_llm_z"))
     )
-    rows = sized.join(per_id, same).withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_n"))))
+    rows = sized.join(per_id.where("_llm_rows = 1"), same)
+    if not per_id.where("_llm_rows > 1").isEmpty():
+        again = sized.join(per_id.where("_llm_rows > 1"), same)
+        key = Window.partitionBy("_llm_id", "_llm_s", "_llm_z").orderBy(F.xxhash64("text"))
+        shared = F.floor((F.col("_llm_n") - F.row_number().over(key)) / F.col("_llm_rows")) + 1
+        rows = rows.unionAll(again.withColumn("_llm_n", shared.cast("int")))
+    rows = rows.where("_llm_n > 0").withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_n"))))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

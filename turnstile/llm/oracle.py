@@ -52,8 +52,27 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+def _allot(parts: str, out: str, group: str, party: str) -> str:
+    """``own`` of the ``words`` of each group: ``quota`` blocks by their quotients, then the rest party by party."""
+    same = " AND ".join(f"p.{c} IS NOT DISTINCT FROM q.{c}" for c in (*group.split(", "), party))
+    return f"""{out}_won AS (
+  SELECT {group}, {party}, count(*) AS won FROM (
+    SELECT p.*, row_number() OVER (PARTITION BY {group} ORDER BY size / (2 * k - 1) DESC, {party}, k) AS place
+    FROM {parts} p, unnest(range(1, coalesce(quota, 0) + 1)) AS u(k) WHERE size > 0
+  ) WHERE place <= quota GROUP BY ALL
+), {out}_cut AS (
+  SELECT p.*, least(coalesce(won, 0) * 128, 2 * size) AS cut FROM {parts} p LEFT JOIN {out}_won q ON {same}
+), {out}_rest AS (SELECT *, words - sum(cut) OVER (PARTITION BY {group}) AS rest FROM {out}_cut),
+{out}_room AS (SELECT *, CASE WHEN rest > 0 THEN 2 * size - cut ELSE cut END AS room FROM {out}_rest),
+{out}_own AS (
+  SELECT * EXCLUDE (words, rest, room, cut), (cut + sign(rest) * least(room, greatest(0, abs(rest) - coalesce(sum(room) OVER (
+      PARTITION BY {group} ORDER BY {party} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS own
+  FROM {out}_room
+),"""
+
+
 #: Every block's quotient is made and ranked here; the operator ranks only those near the cut.
-MIX = r"""
+_MIX = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -84,18 +103,17 @@ source_quotients AS (
 ), dealt AS (
   SELECT d.*, ('0x' || substr(digest, 1, 8))::BIGINT % ceil(n_docs / 1000)::BIGINT AS shard, source_size, target
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), shard AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM dealt GROUP BY ALL),
-shard_quotients AS (
-  SELECT h.source, shard, quota, shard_size / (2 * k - 1) AS q, k
-  FROM shard h JOIN source_quota z ON h.source IS NOT DISTINCT FROM z.source, unnest(range(1, quota + 1)) AS u(k)
-  WHERE shard_size > 0
-), shard_quota AS (
-  SELECT source, shard, count(*) AS n FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) AS place FROM shard_quotients
-  ) WHERE place <= quota GROUP BY ALL
-), w AS (
-  SELECT h.source, h.shard, shard_size, least(coalesce(n, 0) * 128, 2 * shard_size)::BIGINT AS words
-  FROM shard h LEFT JOIN shard_quota z ON h.source IS NOT DISTINCT FROM z.source AND h.shard = z.shard
+), bundle_of AS (SELECT source, shard, shard // 1000 AS bundle, sum(size)::BIGINT AS size FROM dealt GROUP BY ALL),
+source_parts AS (
+  SELECT b.source, bundle, sum(b.size)::BIGINT AS size, quota, round(target)::BIGINT AS words
+  FROM bundle_of b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+       LEFT JOIN source_quota z ON b.source IS NOT DISTINCT FROM z.source GROUP BY ALL
+), {allot_bundles}
+bundle_parts AS (
+  SELECT b.source, b.bundle, shard, b.size, round(own / 128)::BIGINT AS quota, own AS words
+  FROM bundle_of b JOIN bundles_own o ON b.source IS NOT DISTINCT FROM o.source AND b.bundle = o.bundle
+), {allot_shards}
+w AS (SELECT source, shard, size AS shard_size, own AS words FROM shards_own
 ), placed AS (
   SELECT dealt.*, shard_size, words,
          CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS rounds,
@@ -108,6 +126,10 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+MIX = _MIX.replace("{allot_bundles}", _allot("source_parts", "bundles", "source", "bundle")).replace(
+    "{allot_shards}", _allot("bundle_parts", "shards", "source, bundle", "shard")
+)
+
 #: As many levels as trees of 16^6 documents and 16^4 sources have; levels above a root hand it on.
 _DOC_LEVELS, _SOURCE_LEVELS = 6, 4
 

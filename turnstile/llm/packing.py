@@ -2,9 +2,10 @@
 
 A document's tokens, ended by token 2, become pieces of at most ``MAX_TOKENS``; only a longer document is cut, and then
 its first piece may be shorter than the others.  Full pieces are sequences by themselves.  The others are dealt at random
-over tasks of about ``PIECES_PER_TASK`` and packed there, longest first, into at most ``OPEN_BINS`` open sequences: those
+over tasks of about ``PIECES_PER_TASK`` and packed there as they come, into at most ``OPEN_BINS`` open sequences: those
 are kept in a bit set by free space, so the best fit is the lowest bit at or above the piece's length.  When all are
-open, the fullest is closed.  Memory is bounded by the number of open sequences, and tasks grow in number, not in size.
+open and none fits, the fullest is closed.  Memory is bounded by the number of open sequences, and tasks grow in number,
+not in size.
 
 Packing reads lengths only, from a table written once; texts are tokenised once and never shuffled.
 
@@ -28,7 +29,7 @@ from turnstile.llm.text import scratch
 MAX_TOKENS = 1024
 END = 2
 PIECES_PER_TASK = 32_768
-OPEN_BINS = 32_768
+OPEN_BINS = 64
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 
@@ -149,7 +150,8 @@ def place(cut: DataFrame, limit: int = MAX_TOKENS, per_task: int = PIECES_PER_TA
     loose = cut.where(F.col("length") < limit)
     tasks = max(1, -(-loose.count() // per_task))
     dealt = loose.repartition(tasks, F.xxhash64("doc_id", "ids_crc32"))
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    # In the order of a digest, so that reruns agree.
+    ordered = dealt.sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
     ddl = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     packed = ordered.mapInArrow(_packed(limit, bins), ddl)
     own = F.monotonically_increasing_id() + F.lit(1 << 62)
