@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 from helpers import area, areas_df, finals_by_area, naive, request, requests_df, results_by_id, state_df
+from pyspark.sql import functions as F
 
+from turnstile.operators import cut
 from turnstile.operators.allocate import allocate
 from turnstile.operators.strategies import pick_first_run, pick_named_seats, register_strategy, refused
 
@@ -186,8 +189,6 @@ def test_large_area_takes_the_salted_path(spark):
 
 
 def test_inactive_requests_stay_without_result(spark):
-    from pyspark.sql import functions as F
-
     requests = requests_df(spark, [request(1, "RANDOM", 2), request(2, "RANDOM", 2)])
     allocation = allocate(requests, areas_df(spark, [area(1, 2)]), active=F.col("seq") > 1)
     results = results_by_id(allocation.results())
@@ -195,10 +196,33 @@ def test_inactive_requests_stay_without_result(spark):
     assert results["r2"][0] == "SUCCESS"
 
 
-def test_candidates_are_cut_before_the_shuffle(spark):
-    from pyspark.sql import functions as F
-
-    from turnstile.operators.allocate import candidates, contested, largest_area, place
+def positions(rnd, kind, n):
+    return {"even": lambda: rnd.randrange(10 * n), "one": lambda: 7, "early": lambda: int(rnd.expovariate(1) ** 6)}[kind]()
+
+
+@pytest.mark.parametrize("kind", ["even", "one", "early"])
+def test_first_rows_are_kept_and_few_others(spark, kind, monkeypatch):
+    """Positions of all kinds, rows that are delivered several times, groups of all sizes."""
+    monkeypatch.setattr(cut, "RANGES", 8)
+    rnd = random.Random(len(kind))
+    rows = []
+    for group, n, wanted in (("a", 6_000, 5), ("b", 3_000, 700), ("c", 30, 20), ("d", 900, 1)):
+        for i in range(n):
+            rows += [(group, positions(rnd, kind, n), f"r{i}", wanted)] * rnd.choice([1, 1, 3])
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g string, seq bigint, reservation_id string, wanted int").repartition(5)
+    got = Counter(tuple(r) for r in cut.first_rows(frame, ["g"], "wanted").collect())
+    given = Counter(rows)
+    for group in "abcd":
+        own = sorted({r for r in rows if r[0] == group})
+        first = own[: own[0][3]]
+        assert all(got[r] == given[r] for r in first)
+        assert sum(got[r] > 0 for r in own) <= max(3 * cut.SLACK * own[0][3], 40)
+    assert all(given[r] == n for r, n in got.items())
+
+
+def test_candidates_are_cut_without_ranking_requests(spark):
+    from turnstile.operators.allocate import candidates, contested, place
     from turnstile.operators.fold import new_states
     from turnstile.operators.strategies import STRATEGIES
 
@@ -210,10 +234,9 @@ def test_candidates_are_cut_before_the_shuffle(spark):
             F.array().cast("array<struct<row:int,col:int>>"), F.lit("event#A"),
         )
     )
-    pool = candidates(contested(place(requests, states), STRATEGIES), STRATEGIES, largest_area(states))
-    plan = pool._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    assert pool.count() == 10 + 4 + 2
+    pool = candidates(contested(place(requests, states), STRATEGIES), STRATEGIES)
+    assert "rank" not in pool._jdf.queryExecution().optimizedPlan().toString()
+    assert 10 + 4 + 2 <= pool.count() <= 4 * (10 + 4 + 2)
 
 
 def test_third_strategy(spark):

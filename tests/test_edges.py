@@ -4,6 +4,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from turnstile.functions import asof
 from turnstile.functions.asof import asof_join
 from turnstile.operators import report
 from turnstile.sources import ingest, logs
@@ -27,6 +28,43 @@ def test_asof_join_agrees_with_brute_force(spark):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def asof_rows(spark, n, parts):
+    """One key with n rows and n versions, and two small ones; nulls take nothing."""
+    rnd = random.Random(n)
+    versions = [("hot", p) for p in range(0, 3 * n, 3)] + [("a", 5), ("a", 9), (None, 1), ("a", None)]
+    rows = [(i, "hot", rnd.randrange(-5, 3 * n + 5)) for i in range(n)] + [(n, "a", 8), (n + 1, "a", 9), (n + 2, "b", 3), (n + 3, None, 3), (n + 4, "a", None)]
+    v = spark.createDataFrame([(k, p, f"{k}{p}") for k, p in versions], "k string, pos bigint, v string").repartition(parts)
+    r = spark.createDataFrame(rows, "id int, k string, at bigint").repartition(parts)
+    expected = {i: f"hot{at // 3 * 3 if at < 3 * n else 3 * n - 3}" if at >= 0 else None for i, _, at in rows[:n]}
+    return r, v, {**expected, n: "a5", n + 1: "a9", n + 2: None, n + 3: None, n + 4: None}
+
+
+def test_asof_scan_splits_a_hot_key_and_is_linear(spark, monkeypatch):
+    written = []
+
+    def watched(df, schema, name):
+        table = write_once(df, schema, name)
+        written.append([r["n"] for r in table.groupBy("_key", "_slice").agg(F.count("*").alias("n")).where("_key = 'hot'").collect()])
+        return table
+
+    write_once = asof.write_once
+    monkeypatch.setattr(asof, "write_once", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (2_000, 4_000):
+            r, v, expected = asof_rows(spark, n, 4)
+            got = asof_join(r, v, "k", "pos", "at")
+            assert got.columns == ["id", "k", "at", "pos", "v"]
+            assert {x["id"]: x["v"] for x in got.collect()} == expected
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "pos" not in plan.partition("Join")[2].partition("\n")[0]  # no range condition is left to a join
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    small, large = written
+    assert sum(small) == 4_000 and sum(large) == 8_000  # what is scanned doubles with rows and versions
+    assert len(large) > 1 and max(large) < 0.6 * sum(large)
+
+
 def test_single_version_hides_later_areas(spark):
     v = spark.createDataFrame([("a", 5, "x")], "k string, pos bigint, v string")
     r = spark.createDataFrame([(1, "a", 4), (2, "a", 5), (3, "b", 9)], "id int, k string, at bigint")

@@ -9,7 +9,7 @@ from turnstile.operators.lookup import lookup_or_wait
 from turnstile.operators.projections import new_reservations
 from turnstile.schemas import conform
 from turnstile.sources import logs
-from turnstile.streaming.allocator import run_allocator, run_flow
+from turnstile.streaming.allocator import BATCHES_PER_BASE, AreaStates, run_allocator, run_flow
 from turnstile.streaming.lifecycle import lifecycle_stream
 from turnstile.streaming.runtime import run_to_end, stream_files
 from turnstile.streaming.waiting import lookup_or_wait_stream
@@ -68,6 +68,25 @@ def test_allocator_restarts_with_its_state_and_takes_recreations(spark, tmp_path
     ]
 
 
+def test_area_states_stay_small_over_many_batches(spark, tmp_path):
+    """50 batches: what a batch reads and what is kept are bounded, and a batch that runs again finds the same."""
+    states, expected = AreaStates(spark, str(tmp_path)), {}
+    for batch in range(50):
+        touched = {f"a{batch % 7}": batch, f"b{batch}": batch}
+        before = {r["event_area_id"]: r["available_seats"] for r in states.before(batch).collect()} if batch % 6 == 5 else expected
+        assert before == expected
+        rows = [(k, 1, 1, "1", v) for k, v in touched.items()]
+        states.write(spark.createDataFrame(rows, "event_area_id string, row_count int, col_count int, grid string, available_seats int"), batch)
+        if batch == 23:  # runs again
+            assert {r["event_area_id"]: r["available_seats"] for r in states.before(batch).collect()} == expected
+            states.write(spark.createDataFrame([("a0", 1, 1, "1", -9)], "event_area_id string, row_count int, col_count int, grid string, available_seats int"), batch)
+        expected = {**expected, **touched}
+        assert len(states._parts(batch + 1)) <= BATCHES_PER_BASE
+        kept = logs.batch_ids(spark, f"{tmp_path}/base") + logs.batch_ids(spark, f"{tmp_path}/changes")
+        assert len(kept) <= 2 * BATCHES_PER_BASE + 2
+    assert {r["event_area_id"]: r["available_seats"] for r in states.before(50).collect()} == expected
+
+
 def test_lifecycle_overwrites_and_drops(spark, tmp_path):
     created = conform(
         new_reservations(requests_df(spark, [request(1, "RANDOM", 1), request(2, "SELF_PICK", 0, [(0, 0)])])), "reservation"

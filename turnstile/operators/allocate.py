@@ -5,11 +5,16 @@ area has a fixed number of seats, so successes are few.  Allocation therefore
 runs in three steps:
 
 1. pick the candidates: of all requests that compete for the same thing in one
-   area only the first few can win (:mod:`turnstile.operators.strategies`);
+   area only the first few can win (:mod:`turnstile.operators.strategies`), and
+   where they are many, counts by log position tell up to where these come
+   (:mod:`turnstile.operators.cut`);
 2. fold the candidates over the grid, one area at a time;
 3. answer every request, candidate or not, from the finished area states, with
    built-in expressions and hash joins.
 
+The requests with their areas are written once to the shared folder; all steps
+read that table.
+
 Step 2 sees a number of rows that depends on the area's size, not on the number
 of requests, so an area holding a third of all requests is no hot spot.  Its
 output, bounded by the number of seats, is written once to the shared folder and
@@ -20,22 +25,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions import grid as G
 from turnstile.functions import messages as M
 from turnstile.functions.asof import asof_join
 from turnstile.functions.records import log_key
+from turnstile.operators.cut import first_rows
 from turnstile.operators.fold import STATE_DDL, fold, new_states
 from turnstile.operators.strategies import STRATEGIES, Strategy, by_type, refused, request_key
 from turnstile.session import write_once
 
-def largest_area(epochs: DataFrame) -> int:
-    """Most seats of one area; no more requests for the same thing can win in any."""
-    seats = G.capacity(F.col("row_count"), F.col("col_count"))
-    return max(epochs.agg(F.max(seats)).first()[0] or 0, 1)
-
 
 def place(requests: DataFrame, epochs: DataFrame) -> DataFrame:
     """Add epoch, row_count and col_count: the area as it was when the request came."""
@@ -43,22 +44,6 @@ def place(requests: DataFrame, epochs: DataFrame) -> DataFrame:
     return asof_join(requests, versions, "event_area_id", "epoch", "seq")
 
 
-def first_of_each(rows: DataFrame, by: list[str], limit: str, at_most: int) -> DataFrame:
-    """The first ``limit`` rows per group in log order; ``limit`` never exceeds ``at_most``.
-
-    Groups are first cut in salted parts, so that no task ranks more of a hot
-    group than its part, then as a whole.  The constant lets Spark cut each part
-    before the shuffle.  A row that was delivered twice takes one place.
-    """
-    order = [F.col("seq"), F.col("reservation_id")]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for group in ([*by, F.pmod(F.xxhash64("reservation_id"), F.lit(parts))], by):
-        rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(*order))
-        rows = rows.withColumn("_rank", rank).where((F.col("_rank") <= at_most) & (F.col("_rank") <= F.col(limit)))
-        rows = rows.drop("_rank")
-    return rows
-
-
 def contested(placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """The requests that could win seats in an empty area, as fold input plus ``_winners``."""
     return (
@@ -72,29 +57,31 @@ def contested(placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     )
 
 
-def candidates(pool: DataFrame, registry: dict[str, Strategy], largest: int) -> DataFrame:
+def candidates(pool: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """Of the contested requests, those that may still win given all their earlier rivals."""
-    ranked = pool.withColumn("_rivals", by_type(registry, "rivals", F.lit(None)))
-    by = ["event_area_id", "epoch", "type", "_rivals"]
-    return first_of_each(ranked, by, "_winners", largest).drop("_rivals")
+    grouped = pool.withColumn("_rivals", by_type(registry, "rivals", F.lit(None)))
+    return first_rows(grouped, ["event_area_id", "epoch", "type", "_rivals"], "_winners").drop("_rivals")
 
 
-def fold_areas(states: DataFrame, placed: DataFrame, registry: dict[str, Strategy], largest: int) -> DataFrame:
+def fold_areas(states: DataFrame, placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """Final state of every (area, epoch)."""
-    pool = candidates(contested(placed, registry), registry, largest)
+    pool = candidates(contested(placed, registry), registry)
     return fold(states, pool.drop("_winners", "row_count", "col_count"), registry)
 
 
+def naming(registry: dict[str, Strategy]) -> list[str]:
+    return [name for name, strategy in registry.items() if strategy.names_seats]
+
+
 def first_blocked(placed: DataFrame, states: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """Of each request that names seats, the index of the first one that an earlier request took, as ``blocked``.
 
     Asked seats meet held seats one by one, so the rows that meet for a seat in
     demand can be split, and none carries an area's grid.
     """
-    naming = [name for name, strategy in registry.items() if strategy.names_seats]
     rows, cols = F.col("row_count"), F.col("col_count")
     asked = (
-        placed.where(F.col("epoch").isNotNull() & F.col("type").isin(*naming))
+        placed.where(F.col("epoch").isNotNull() & F.col("type").isin(*naming(registry)))
         .select("event_area_id", "epoch", "seq", "reservation_id", *["row_count", "col_count"], F.posexplode("seats"))
         .where(G.in_range(F.col("col"), rows, cols))
         .select(
@@ -132,13 +119,17 @@ def cells_to_seats(cells: Column, col_count: Column) -> Column:
 
 @dataclass(frozen=True)
 class Allocation:
-    """Requests, areas and finished area states, tied together for the readers below."""
+    """Requests, areas and finished area states, tied together for the readers below.
+
+    ``placed`` is a table; ``naming`` says whether requests in it name their seats.
+    """
 
     placed: DataFrame
     active: Column
     areas: DataFrame
     states: DataFrame
     registry: dict[str, Strategy]
+    naming: bool = True
 
     def _answered(self) -> DataFrame:
         """Placed requests with ``_cells``, ``_seats_left`` (both null if none were won) and ``_refusal``."""
@@ -151,8 +142,10 @@ class Allocation:
             F.col("win.available_seats").alias("_seats_left"),
         )
         at = ["event_area_id", "seq", "reservation_id"]
-        blocked = first_blocked(self.placed.where(self.active), self.states, self.registry)
-        looked_up = self.placed.join(wins, at, "left").join(blocked, at, "left")
+        looked_up = self.placed.join(wins, at, "left").withColumn("blocked", F.lit(None).cast("int"))
+        if self.naming:
+            blocked = first_blocked(self.placed.where(self.active), self.states, self.registry)
+            looked_up = looked_up.drop("blocked").join(blocked, at, "left")
         refusal = refusal_of(self.registry, F.col("epoch").isNotNull())
         return looked_up.withColumn("_refusal", F.when(self.active, refusal)).drop("blocked")
 
@@ -163,7 +156,7 @@ class Allocation:
         """
         won = cells_to_seats(F.col("_cells"), F.col("col_count"))
         succeeded = self.active & F.col("_refusal").isNull()
-        state = ["epoch", "row_count", "col_count"]
+        state = ["epoch", "row_count", "col_count", "_active"]
         return self._answered().select(
             *[c for c in self.placed.columns if c not in state],
             F.when(succeeded, "SUCCESS").when(self.active, "FAILED").alias("result"),
@@ -243,6 +236,9 @@ def allocate(
     active = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
     areas = areas.dropDuplicates(["event_area_id", "seq"])
     empty = new_states(areas)
-    placed = place(requests, empty)
-    states = fold_areas(empty, placed.where(active), registry, largest_area(empty))
-    return Allocation(placed, active, areas, write_once(states, STATE_DDL, "area-states"), registry)
+    placed = place(requests.withColumn("_active", active), empty)
+    placed = write_once(placed, placed.schema, "placed")
+    taking_part = F.col("_active")
+    states = write_once(fold_areas(empty, placed.where(taking_part), registry), STATE_DDL, "area-states")
+    names = not placed.where(taking_part & F.col("type").isin(*naming(registry))).isEmpty()
+    return Allocation(placed, taking_part, areas, states, registry, names)

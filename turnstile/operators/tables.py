@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: areas kept in the replicated snapshot.
-SNAPSHOT_AREAS = 1_000
-
 
 def latest_per_key(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last update of every key.
@@ -21,18 +18,21 @@ def latest_per_key(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
     return newest.select("_newest.*")
 
 
-def most_recent(table: DataFrame, order: list[str], keep: int = SNAPSHOT_AREAS) -> DataFrame:
+def most_recent(table: DataFrame, order: list[str], keep: int) -> DataFrame:
     """The ``keep`` most recently written rows of a table with one row per key."""
     return table.orderBy(*[F.col(c).desc() for c in order]).limit(keep)
 
 
-def replicated_snapshot(changelog: DataFrame, keep: int = SNAPSHOT_AREAS) -> DataFrame:
-    """The area snapshot that every executor holds: latest state, at most ``keep`` areas.
+def replicated_snapshot(changelog: DataFrame, keep: int | None = None) -> DataFrame:
+    """The area snapshot that the pre-filter looks at: the latest state of every area.
 
-    Areas beyond the bound are absent on purpose: the pre-filter passes requests
-    for unknown areas on, and the allocator decides them.
+    With ``keep``, of the most recently written ones only.  The others are absent
+    on purpose: the pre-filter passes requests for unknown areas on, and the
+    allocator decides them.
     """
     newest = latest_per_key(changelog, "event_area_id", ["seq"])
+    if keep is None:
+        return newest
     return most_recent(newest, ["seq", "event_area_id"], keep)
 
 

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 # --- fixed values: enum domains ------------------------------------------------
 REQUEST_TYPES = ("SELF_PICK", "RANDOM", "INVALID")
 DEFAULT_TYPE = "INVALID"
-RESULTS = ("SUCCESS", "FAILED")
-STATES = ("PROCESSING", "RESERVED", "FAILED", "PAID", "CANCELLED")
-ERROR_CODES = ("INVALID_EVENT_AREA", "INVALID_SEAT", "NOT_AVAILABLE", "INTERNAL_ERROR", "INVALID_ARGUMENT")
-DEFAULT_USER = "invalid"
 # -------------------------------------------------------------------------------
 
 SEATS = "array<struct<row:int,col:int>>"
@@ -53,17 +49,6 @@ DDL = {
     ),
 }
 
-# Columns that identify a record; a row without one of them cannot be keyed.
-KEYS = {
-    "create_event": ["event_name"],
-    "create_reservation": ["reservation_id", "event_id", "area_id"],
-    "reserve_seat": ["event_area_id", "reservation_id"],
-    "reservation_result": ["reservation_id"],
-    "area_status": ["event_area_id"],
-    "reservation": ["reservation_id"],
-}
-
-
 def conform(df: DataFrame, record: str) -> DataFrame:
     """Project ``df`` onto the columns and types of ``record``.
 

@@ -51,11 +51,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_once(df, ddl: str, name: str):
-    """Write ``df`` to a table of its own in the shared folder and return the table."""
+def write_once(df, schema, name: str):
+    """Write ``df`` to a table of its own in the shared folder and return the table; ``schema`` is its DDL or type."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(ddl).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 @contextlib.contextmanager

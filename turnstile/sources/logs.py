@@ -59,6 +59,13 @@ def decode(df: DataFrame, record: str) -> DataFrame:
     return parsed.select("_record.*", *rest)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a location, whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write one batch of a log, once.
 
@@ -67,17 +74,31 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     A batch that is there already stays as it is: one that is replayed after a
     failure adds no file, and what follows does not read it a second time.
     """
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
-    files = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    target, files = _files(df.sparkSession, f"{path}/batch={batch_id}")
     if files.exists(target):
         return
     staged = f"{path}/_staged-{batch_id}-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    if not files.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
+    if not files.rename(_files(df.sparkSession, staged)[0], target):
         raise OSError(f"batch {batch_id} could not be moved to {path}")
 
 
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that are there, in order."""
+    location, files = _files(spark, path)
+    if not files.exists(location):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(location))
+    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+
+
+def drop_batches(spark: SparkSession, path: str, ids: list[int]) -> None:
+    """Remove batches that no reader needs any more."""
+    for batch_id in ids:
+        target, files = _files(spark, f"{path}/batch={batch_id}")
+        files.delete(target, True)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All rows written by :func:`write_batch`, with their ``batch``."""
     return spark.read.option("basePath", path).parquet(path)

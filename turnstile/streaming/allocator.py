@@ -1,9 +1,11 @@
 """Seat allocation as a stream: every micro-batch goes through the batch allocator.
 
-Between micro-batches an area is one row, its grid and counter, in a table that
-grows by the areas that each batch touched.  A batch reads the states of the
-batches before it and writes its own under its own number, so that running it
-again, after a failure, starts from the same states and changes nothing.
+Between micro-batches an area is one row, its grid and counter.  A batch writes
+the areas that it touched under its own number; every few batches all areas are
+written as a base, and what only older batches needed is removed.  A batch reads
+the newest base before it and the batches since, so that what it reads does not
+grow with the age of the job, and running it again, after a failure, starts from
+the same states and changes nothing.
 
 Within a micro-batch only candidates are folded, so a task sees rows in
 proportion to an area's seats and not to the requests of the batch.
@@ -12,6 +14,7 @@ proportion to an area's seats and not to the requests of the batch.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ from turnstile.operators.allocate import Allocation, allocate
 from turnstile.operators.lifecycle import settle
 from turnstile.operators.strategies import STRATEGIES, Strategy
 from turnstile.operators.tables import latest_per_key
-from turnstile.sources.logs import read_batches, write_batch
+from turnstile.sources.logs import batch_ids, drop_batches, write_batch
 from turnstile.streaming.runtime import run_to_end
 
 _REQUEST = [
@@ -30,26 +33,48 @@ _REQUEST = [
 ]
 _AREA = ["event_area_id", "seq", "row_count", "col_count", "grid", "available_seats"]
 _STATES = "event_area_id string, row_count int, col_count int, grid string, available_seats int"
+#: So often all areas are written as a base.
+BATCHES_PER_BASE = 8
 # Position of what an area was before the batch: older than any row of the batch.
 BEFORE = -(2**62)
 
 
 @dataclass(frozen=True)
 class AreaStates:
-    """The states table of one job, by batch."""
+    """The states table of one job: what each batch changed, and bases that sum it up."""
 
     spark: SparkSession
     path: str
 
+    def _parts(self, batch_id: int) -> list[str]:
+        """The base before ``batch_id``, if there is one, and the changes since."""
+        bases = [n for n in batch_ids(self.spark, f"{self.path}/base") if n < batch_id]
+        base = bases[-1] if bases else -1
+        changes = [n for n in batch_ids(self.spark, f"{self.path}/changes") if base < n < batch_id]
+        return [f"{self.path}/base/batch={n}" for n in bases[-1:]] + [f"{self.path}/changes/batch={n}" for n in changes]
+
     def before(self, batch_id: int) -> DataFrame:
         """Each area as the batches before ``batch_id`` left it."""
-        nothing = self.spark.createDataFrame([], _STATES)
-        write_batch(nothing, self.path, -1)
-        earlier = read_batches(self.spark, self.path).where(F.col("batch") < batch_id)
-        return latest_per_key(earlier, "event_area_id", ["batch"]).drop("batch")
+        parts = self._parts(batch_id)
+        if not parts:
+            return self.spark.createDataFrame([], _STATES)
+        numbered = [self.spark.read.schema(_STATES).parquet(part).withColumn("batch", F.lit(i)) for i, part in enumerate(parts)]
+        return latest_per_key(reduce(DataFrame.unionAll, numbered), "event_area_id", ["batch"]).drop("batch")
 
     def write(self, states: DataFrame, batch_id: int) -> None:
-        write_batch(states.select("event_area_id", "row_count", "col_count", "grid", "available_seats"), self.path, batch_id)
+        changed = states.select("event_area_id", "row_count", "col_count", "grid", "available_seats")
+        write_batch(changed, f"{self.path}/changes", batch_id)
+        if (batch_id + 1) % BATCHES_PER_BASE == 0:
+            write_batch(self.before(batch_id + 1), f"{self.path}/base", batch_id)
+            self._retire(batch_id)
+
+    def _retire(self, batch_id: int) -> None:
+        """A batch that runs again starts from the base before this one at the earliest."""
+        bases = [n for n in batch_ids(self.spark, f"{self.path}/base") if n < batch_id]
+        if bases:
+            drop_batches(self.spark, f"{self.path}/base", bases[:-1])
+            old = [n for n in batch_ids(self.spark, f"{self.path}/changes") if n <= bases[-1]]
+            drop_batches(self.spark, f"{self.path}/changes", old)
 
 
 def tagged(areas: DataFrame, requests: DataFrame) -> DataFrame:
