@@ -239,6 +239,54 @@ def test_candidates_are_cut_without_ranking_requests(spark):
     assert 10 + 4 + 2 <= pool.count() <= 4 * (10 + 4 + 2)
 
 
+def fold_input(monkeypatch, into):
+    """Counts the requests that reach the fold."""
+    from turnstile.operators import allocate as module
+
+    fold = module.fold
+    monkeypatch.setattr(module, "fold", lambda states, pool, registry: into.append(pool.count()) or fold(states, pool, registry))
+
+
+def test_handpicked_seats_are_settled_before_the_fold(spark, monkeypatch):
+    """Crowded areas, one of them created again, and one with runs as well, which is left to the fold."""
+    seen, rnd, log = [], random.Random(11), []
+    fold_input(monkeypatch, seen)
+    for s in range(1, 2_400):
+        seats = [(rnd.randrange(4), rnd.randrange(5)) for _ in range(rnd.randint(1, 4))]
+        name = rnd.choice("AAAAAABC")
+        log.append(request(s, "SELF_PICK", 0, seats, rid=f"r{rnd.random()}", area=name))
+    log.append(request(9, "RANDOM", 2, rid="run", area="B"))
+    areas = [area(4, 5), area(4, 5, name="B"), area(4, 5, name="C"), area(4, 5, seq=1200)]
+    results, finals = run(spark, areas, log + log[:50])
+    expected, final = naive(areas, log)
+    assert results == expected
+    assert finals == final
+    assert seen[0] < 900
+
+
+def test_a_promise_of_monotony_bounds_the_fold(spark, monkeypatch):
+    def last_seats(grid, rows, cols, count, seats):
+        free = [i for i, c in enumerate(grid) if c == ord("1")]
+        return [divmod(i, cols + 1) for i in free[-count:]] if 0 < count <= len(free) else None
+
+    promise = {
+        "rivals": lambda: F.col("num_of_seats").cast("string"),
+        "winners": lambda: F.when(F.col("num_of_seats") > 0, F.floor(F.col("row_count") * F.col("col_count") / F.col("num_of_seats"))).otherwise(0),
+    }
+    refusal = lambda: refused("NOT_AVAILABLE", "none left")
+    log = [request(s, "LAST", 1 + s % 3, rid=f"r{s}") for s in range(1, 3_000)]
+    outcomes, seen = [], []
+    fold_input(monkeypatch, seen)
+    for extra in ({}, promise):
+        registry = register_strategy("LAST", last_seats, lambda: F.lit(True), refusal, **extra)
+        allocation = allocate(requests_df(spark, log), areas_df(spark, [area(3, 4)]), registry=registry)
+        outcomes.append(results_by_id(allocation.results()))
+    assert outcomes[0] == outcomes[1] and sum(r[0] == "SUCCESS" for r in outcomes[0].values()) == 6
+    assert seen[0] == len(log) and seen[1] <= 2 * cut.SLACK * (12 + 6 + 4)
+    with pytest.raises(ValueError):
+        register_strategy("LAST", last_seats, lambda: F.lit(True), refusal, rivals=promise["rivals"])
+
+
 def test_third_strategy(spark):
     def corner(grid, rows, cols, count, seats):
         return [(rows - 1, cols - 1)] if grid and grid[-1] == ord("1") else None

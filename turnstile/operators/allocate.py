@@ -34,6 +34,7 @@ from turnstile.functions.asof import asof_join
 from turnstile.functions.records import log_key
 from turnstile.operators.cut import first_rows
 from turnstile.operators.fold import STATE_DDL, fold, new_states
+from turnstile.operators.handpicked import settle_handpicked
 from turnstile.operators.strategies import STRATEGIES, Strategy, by_type, refused, request_key
 from turnstile.session import write_once
 
@@ -65,7 +66,7 @@ def candidates(pool: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
 
 def fold_areas(states: DataFrame, placed: DataFrame, registry: dict[str, Strategy]) -> DataFrame:
     """Final state of every (area, epoch)."""
-    pool = candidates(contested(placed, registry), registry)
+    pool = settle_handpicked(candidates(contested(placed, registry), registry), states, registry)
     return fold(states, pool.drop("_winners", "row_count", "col_count"), registry)
 
 

@@ -69,10 +69,11 @@ class AreaFold:
         self.taken = [None if seat == FREE else TAKEN_BEFORE for seat in seats]
         self.wins = []
         self.hopeless = set()
+        self.sold_out = FREE not in self.grid
         self.last = None
 
     def request(self, strategy: tuple, key: tuple, count: int, seats: list) -> None:
-        if key == self.last:  # delivered twice
+        if self.sold_out or key == self.last:  # delivered twice
             return
         self.last = key
         pick, by_count = strategy
@@ -87,6 +88,7 @@ class AreaFold:
         cells = mark(self.grid, self.cols, won)
         for cell in cells:
             self.taken[cell] = key
+        self.sold_out = FREE not in self.grid
         # A seat named twice lowers the counter twice.
         self.available -= len(cells)
         self.wins.append({"seq": key[0], "id": key[1], "cells": cells, "available_seats": self.available})

@@ -37,6 +37,7 @@ class Strategy:
         index in ``seats`` of the first one that was taken before, null if none was;
         asked of requests that won no seat, null if such a request succeeds all the same
     bounded: the count alone decides what is asked for, so a count refused once stays refused
+    takes_named: a request gets all seats that it names if all are free, and else nothing
     """
 
     pick: Callable[[bytearray, int, int, int, list], list | None]
@@ -46,6 +47,7 @@ class Strategy:
     refusal: Callable[[], Column]
     bounded: bool = False
     names_seats: bool = False
+    takes_named: bool = False
 
 
 def refused(code: str, template: str, *args: Column) -> Column:
@@ -159,6 +161,7 @@ STRATEGIES: dict[str, Strategy] = {
         winners=_named_winners,
         refusal=_named_refusal,
         names_seats=True,
+        takes_named=True,
     ),
 }
 
@@ -169,17 +172,27 @@ def register_strategy(
     passes: Callable[[], Column],
     refusal: Callable[[], Column],
     base: dict[str, Strategy] = STRATEGIES,
+    rivals: Callable[[], Column] | None = None,
+    winners: Callable[[], Column] | None = None,
 ) -> dict[str, Strategy]:
     """A registry that also knows ``request_type``; ``base`` is left as it is.
 
     ``pick`` returns free seats or None; ``refusal`` gives the ``refused(...)``
     struct of a request that got none.
+
+    ``rivals`` and ``winners`` are the type's promise of monotony: of one area's
+    requests with the same ``rivals`` value, those that win come first in the log,
+    and there are ``winners`` of them at most (0: never).  Then the fold gets a
+    number of requests that the area's seats bound.  Without the promise every
+    request of the type passes through the fold until the area is sold out.
     """
+    if (rivals is None) != (winners is None):
+        raise ValueError("rivals and winners go together")
     added = Strategy(
         pick=pick,
         passes=passes,
-        rivals=lambda: F.col("reservation_id"),
-        winners=lambda: F.lit(1),
+        rivals=rivals or (lambda: F.col("reservation_id")),
+        winners=winners or (lambda: F.lit(1)),
         refusal=refusal,
     )
     return {**base, request_type: added}
