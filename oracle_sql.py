@@ -313,6 +313,11 @@ SELECT o_orderkey::BIGINT AS seq, o_orderkey::VARCHAR AS event_name,
                                           l_suppkey % 9, l_partkey % 7)
          FROM lineitem WHERE l_orderkey = o_orderkey), '') AS areas
 FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 97 <> 0""",
+    "area_snapshot_of_all": """
+        SELECT 'part#' || l_partkey AS event_area_id,
+               max(l_orderkey::BIGINT * 10000 + l_linenumber * 1000 + l_suppkey % 1000) AS seq
+        FROM lineitem GROUP BY l_partkey
+    """,
     "asof_many_versions": """
 WITH v AS (SELECT l_suppkey, l_orderkey::BIGINT AS since, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY ALL)
 SELECT r.l_suppkey, r.l_partkey, r.l_linenumber, (r.l_orderkey - 3)::BIGINT AS at, v.since, v.lines

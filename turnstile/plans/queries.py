@@ -375,6 +375,17 @@ def allocator_area_lookup(spark, sf):
     )
 
 
+@query
+def area_snapshot_of_all(spark, sf):
+    """The snapshot keeps every area: one per part, with the line item that came last."""
+    lines = D.table(spark, sf, "lineitem")
+    changes = lines.select(
+        F.concat(F.lit("part#"), F.col("l_partkey").cast("string")).alias("event_area_id"),
+        (F.col("l_orderkey").cast("bigint") * 10_000 + F.col("l_linenumber") * 1_000 + F.col("l_suppkey") % 1_000).alias("seq"),
+    )
+    return tables.replicated_snapshot(changes)
+
+
 @query
 def asof_many_versions(spark, sf):
     """Line items with the newest order of their supplier so far: many versions per key, and many rows for each."""
