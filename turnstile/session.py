@@ -51,6 +51,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that no reader needs any more, in whatever store it is."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def write_once(df, schema, name: str):
     """Write ``df`` to a table of its own in the shared folder and return the table; ``schema`` is its DDL or type."""
     path = scratch_path(df.sparkSession, name)

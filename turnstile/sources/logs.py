@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from turnstile.operators.tables import latest_per_key
 from turnstile.schemas import DDL, conform
+from turnstile.session import remove
 
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -95,8 +96,7 @@ def batch_ids(spark: SparkSession, path: str) -> list[int]:
 def drop_batches(spark: SparkSession, path: str, ids: list[int]) -> None:
     """Remove batches that no reader needs any more."""
     for batch_id in ids:
-        target, files = _files(spark, f"{path}/batch={batch_id}")
-        files.delete(target, True)
+        remove(spark, f"{path}/batch={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
