@@ -28,12 +28,15 @@ OUT = "keep_id bigint, group_size bigint, is_first boolean, text_sha256 string,
 
 
 def content_sorted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` and its normalised text in ``_llm_norm``, equal texts adjacent, by id within them."""
-    tagged = docs.withColumn("_llm_norm", F.regexp_replace(whole_text(text), SPACE + "+", " ")).withColumns(
-        {"_llm_start": F.substring("_llm_norm", 1, SPLITTER_CHARS), "_llm_digest": F.sha2("_llm_norm", 256)}
-    )
+    """``docs`` and its normalised text in ``_llm_norm``, equal texts adjacent, by id within them.
+
+    The exchange carries the text as it came, once; it is normalised again behind the exchange.
+    """
+    norm = F.regexp_replace(whole_text(text), SPACE + "+", " ")
+    tagged = docs.withColumns({"_llm_start": F.substring(norm, 1, SPLITTER_CHARS), "_llm_digest": F.unhex(F.sha2(norm, 256))})
     last = F.col(key).asc_nulls_last()
-    return tagged.repartitionByRange("_llm_start", "_llm_digest", last).sortWithinPartitions(
+    dealt = tagged.repartitionByRange("_llm_start", "_llm_digest", last)
+    return dealt.withColumn("_llm_norm", norm).sortWithinPartitions(
         "_llm_start", "_llm_digest", "_llm_norm", last
     )
 
@@ -151,20 +154,21 @@ def grouped(docs: DataFrame, only_first: bool, carry: list[str], text: str = "te
     The carried columns are called ``_llm_c0``, ``_llm_c1`` and so on, whatever their names in ``docs``.
     """
     own = {f"_llm_c{i}": c for i, c in enumerate(carry)}
+    whole = next((alias for alias, c in own.items() if c == text), "_llm_text")
     base = docs.select(
         *(F.col(f"`{c}`").alias(alias) for alias, c in own.items()),
         F.col(key).cast("bigint").alias("_llm_key"),
-        F.col(text).alias("_llm_text"),
+        *([F.col(text).alias(whole)] if whole not in own else []),
     )
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    wide = content_sorted(base, "_llm_text", "_llm_key").select(*own, "_llm_key", "_llm_norm")
+    wide = content_sorted(base, whole, "_llm_key").select(*own, "_llm_key", "_llm_norm")
     ddl = ", ".join([*(f"{c} {kinds[c]}" for c in own), OUT])
     marked = scratch(wide.mapInArrow(_mark([*own], "_llm_key", only_first), ddl), "content-sort")
     ends = marked.where("edge_text is not null")
-    whole = ends.groupBy(F.col("edge_text").alias("_llm_t")).agg(
+    met = ends.groupBy(F.col("edge_text").alias("_llm_t")).agg(
         F.min("keep_id").alias("_llm_keep"), F.sum("group_size").alias("_llm_size"), F.min("edge").alias("_llm_edge")
     )
-    pieces = ends.select("edge_text", F.col("edge").alias("_llm_at")).join(whole, F.col("edge_text") == F.col("_llm_t"))
+    pieces = ends.select("edge_text", F.col("edge").alias("_llm_at")).join(met, F.col("edge_text") == F.col("_llm_t"))
     pieces = pieces.select("_llm_at", "_llm_keep", "_llm_size", "_llm_edge")
     inner = marked.where("edge is null").select(
         *own, "keep_id", "group_size", "text_sha256", F.col("is_first").alias("kept")
