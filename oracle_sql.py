@@ -294,6 +294,12 @@ FROM areas a JOIN region ON a.event_id = 'event-' || r_regionkey GROUP BY ALL"""
     "FROM updates " + LATEST.format("event_area_id"),
     "sink_results_roundtrip": ctes(*FLOW) + f"SELECT {RESULT_COLUMNS} FROM results",
     "area_status_changelog": ctes(*PLAIN) + "SELECT event_area_id, seq, available_seats, grid FROM walk WHERE code IS NULL",
+    "area_status_deltas": ctes(*PLAIN) + """
+SELECT event_area_id, seq, available_seats, array_to_string(list_sort(list_distinct(
+         list_transform(seats, lambda s: s.r * col_count + s.c))), ',') AS cells
+FROM walk WHERE code IS NULL""",
+    "area_status_at_requests": ctes(*PLAIN) + """
+SELECT event_area_id, seq, reservation_id, available_seats, grid FROM walk WHERE rn > 0""",
     "sink_reserve_seat_roundtrip": ctes(*PIN) + f"SELECT {RESERVE_COLUMNS} FROM decided WHERE state = 'PROCESSING'",
     "final_reservations": ctes(*FLOW) + f"SELECT {FINAL_COLUMNS} FROM final",
     "ingest_json_requests": ctes(RAW, JSON_TEXT) + f"""

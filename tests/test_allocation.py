@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstile.operators import cut
 from turnstile.operators.allocate import allocate
+from turnstile.operators.changelog import EVERY, at_positions, segments, with_grids
 from turnstile.operators.strategies import pick_first_run, pick_named_seats, register_strategy, refused
 
 
@@ -333,3 +334,43 @@ def test_creation_delivered_twice_counts_once(spark):
     assert allocation.results().count() == 3
     assert results_by_id(allocation.results()) == naive([area(1, 2)], log)[0]
     assert allocation.changelog().count() == 3
+
+
+def test_grids_are_drawn_from_deltas_at_any_position(spark):
+    """The state after each request, for segments of any length, against a naive walk up to there."""
+    areas, log = random_log(5, n=200, versions=2)
+    requests = requests_df(spark, log)
+    allocation = allocate(requests, areas_df(spark, areas))
+    asked = requests.select("event_area_id", "seq", "reservation_id")
+    found = at_positions(asked, allocation.states).where("epoch is not null")
+    columns = ["event_area_id", "reservation_id", "available_seats", "grid"]
+    expected = []
+    for seq, rid, key in ((r[0], r[2], r[-1]) for r in log):
+        _, final = naive([a for a in areas if a[0] <= seq], [r for r in log if (r[0], r[2]) <= (seq, rid)])
+        if key in final:
+            left, free = final[key]
+            expected.append((key, rid, left, "|".join("".join("1" if f else "0" for f in row) for row in free)))
+    for every in (1, 7, 10_000):
+        rows = with_grids(found, allocation.states, every).select(*columns).collect()
+        assert sorted(map(tuple, rows)) == sorted(expected)
+
+
+def test_changes_carry_no_grid_and_images_stay_few(spark):
+    """The rows of changes hold cells in proportion to seats; images are one per segment."""
+    log = [request(s, "RANDOM", 1) for s in range(1, 1000)]
+    allocation = allocate(requests_df(spark, log), areas_df(spark, [area(20, 20)]))
+    changes = allocation.changes()
+    assert "grid" not in changes.columns and "taken" not in changes.columns
+    cells = [c for r in changes.collect() for c in r["cells"]]
+    assert sorted(cells) == list(range(400))
+    assert segments(allocation.states).count() == 400 // EVERY + 1
+    last = allocation.changelog().orderBy(F.desc("seq")).first()
+    assert last["available_seats"] == 0 and "1" not in last["grid"]
+
+
+def test_partly_taken_start_is_the_first_delta(spark):
+    start = state_df(spark, "10|11").withColumn("seq", F.lit(0))
+    allocation = allocate(requests_df(spark, [request(1, "RANDOM", 2)]), start)
+    rows = {r["number"]: (r["cells"], r["available_seats"]) for r in allocation.changes().collect()}
+    assert rows == {0: ([1], 3), 1: ([2, 3], 1)}
+    assert {r["seq"]: r["grid"] for r in allocation.changelog().collect()} == {0: "10|11", 1: "10|00"}

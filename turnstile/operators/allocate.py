@@ -32,6 +32,7 @@ from turnstile.functions import grid as G
 from turnstile.functions import messages as M
 from turnstile.functions.asof import asof_join
 from turnstile.functions.records import log_key
+from turnstile.operators.changelog import deltas, with_grids
 from turnstile.operators.cut import first_rows
 from turnstile.operators.fold import STATE_DDL, fold, new_states
 from turnstile.operators.handpicked import settle_handpicked
@@ -177,45 +178,30 @@ class Allocation:
             F.length(F.regexp_replace("grid", "[0|]", "")).alias("free_seats"),
         )
 
-    def changelog(self) -> DataFrame:
-        """One row per area creation and per success, with the state it left behind."""
-        shape = ["event_area_id", "seq", "reservation_id", "row_count", "col_count", "available_seats", "grid"]
-        created = new_states(self.areas).withColumns(
-            {"seq": F.col("epoch"), "reservation_id": F.lit(None).cast("string")}
-        )
-        key = request_key()
-        sales = self.states.withColumn("win", F.explode("wins")).withColumns(
-            {"seq": F.col("win.seq"), "reservation_id": F.col("win.id"), "available_seats": F.col("win.available_seats")}
-        )
-        # A success without seats leaves the state as it was.
-        state = self.states.select("event_area_id", "epoch", "initial_seats", "taken", "wins")
-        earlier = F.filter("wins", lambda w: log_key(w["seq"], w["id"]) < key)
+    def changes(self) -> DataFrame:
+        """One row per area creation and per success, without grids: :func:`turnstile.operators.changelog.deltas`.
+
+        A success without seats has no cells, and the number and counter of the change before it.
+        """
+        sold = F.transform("wins", lambda w: w.dropFields("cells")).alias("_sold")
+        states = self.states.select("event_area_id", "epoch", "initial_seats", sold)
+        earlier = F.filter("_sold", lambda w: log_key(w["seq"], w["id"]) < request_key())
         unchanged = (
             self._answered()
             .where(self.active & F.col("_refusal").isNull() & F.col("_cells").isNull())
-            .join(state, ["event_area_id", "epoch"])
+            .join(states, ["event_area_id", "epoch"])
+            .withColumns({"number": F.size(earlier), "cells": F.array().cast("array<int>")})
             .withColumn(
-                "available_seats",
-                F.coalesce(F.get(earlier, F.size(earlier) - 1)["available_seats"], F.col("initial_seats")),
+                "available_seats", F.coalesce(F.get("_sold", F.col("number") - 1)["available_seats"], F.col("initial_seats"))
             )
         )
-        rows, cols = F.col("row_count"), F.col("col_count")
-        grid_then = F.array_join(
-            F.transform(
-                G.indices(rows),
-                lambda r: F.array_join(
-                    F.transform(
-                        F.slice("taken", r * cols + 1, cols),
-                        lambda holder: F.when(holder <= key, "0").otherwise("1"),
-                    ),
-                    "",
-                ),
-            ),
-            "|",
-        )
-        grid_then = F.when((rows > 0) & (cols > 0), grid_then).otherwise("")
-        changes = [d.withColumn("grid", grid_then).select(*shape) for d in (sales, unchanged)]
-        return created.select(*shape).unionByName(changes[0]).unionByName(changes[1])
+        known = deltas(self.states)
+        return known.unionByName(unchanged.select(*known.columns))
+
+    def changelog(self) -> DataFrame:
+        """One row per area creation and per success, with the state it left behind."""
+        shape = ["event_area_id", "seq", "reservation_id", "row_count", "col_count", "available_seats", "grid"]
+        return with_grids(self.changes(), self.states).select(*shape)
 
 
 def allocate(

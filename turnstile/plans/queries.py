@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnstile.functions import grid as G
 from turnstile.functions.asof import asof_join
 from turnstile.functions.records import at_millis, reservation_document, to_millis
-from turnstile.operators import lifecycle, prefilter, projections, report, tables
+from turnstile.operators import changelog, lifecycle, prefilter, projections, report, tables
 from turnstile.operators.allocate import allocate
 from turnstile.operators.lookup import lookup, lookup_or_wait
 from turnstile.operators.strategies import STRATEGIES, refused, register_strategy
@@ -145,6 +145,25 @@ def area_status_changelog(spark, sf):
     return _allocated(spark, sf).changelog().select("event_area_id", "seq", "available_seats", "grid")
 
 
+@query
+def area_status_deltas(spark, sf):
+    """The changelog without grids: the cells that each change took and the counter that it left."""
+    changes = _allocated(spark, sf).changes()
+    cells = F.array_join(F.array_sort("cells"), ",").alias("cells")
+    return changes.select("event_area_id", "seq", "available_seats", cells)
+
+
+@query
+def area_status_at_requests(spark, sf):
+    """Each request's area as it was right after the request, won or not."""
+    allocation = _allocated(spark, sf)
+    requests = D.requests(spark, sf).select("event_area_id", "seq", "reservation_id")
+    found = changelog.at_positions(requests, allocation.states).where(F.col("epoch").isNotNull())
+    return changelog.with_grids(found, allocation.states).select(
+        "event_area_id", "seq", "reservation_id", "available_seats", "grid"
+    )
+
+
 @query
 def sink_reserve_seat_roundtrip(spark, sf):
     passed = lifecycle.route(_decided(spark, sf), "processing")
@@ -625,7 +644,7 @@ def duration_percentile_tumbling(spark, sf):
 def sold_out_time(spark, sf):
     requests = D.requests(spark, sf)
     key = ["event_area_id", "seq", "reservation_id"]
-    changes = allocate(requests, D.areas(spark, sf)).changelog().join(requests.select(*key, "ts"), key)
+    changes = allocate(requests, D.areas(spark, sf)).changes().join(requests.select(*key, "ts"), key)
     return report.sold_out_times(requests, changes, D.areas(spark, sf))
 
 
