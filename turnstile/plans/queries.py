@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnstile.functions import grid as G
 from turnstile.functions.asof import asof_join
 from turnstile.functions.records import at_millis, reservation_document, to_millis
-from turnstile.operators import changelog, lifecycle, prefilter, projections, report, tables
+from turnstile.operators import changelog, lifecycle, prefilter, projections, report, sketches, tables
 from turnstile.operators.allocate import allocate
 from turnstile.operators.lookup import lookup, lookup_or_wait
 from turnstile.operators.strategies import STRATEGIES, refused, register_strategy
@@ -640,6 +640,19 @@ def duration_percentile_tumbling(spark, sf):
     return report.tumbling_percentile(D.timings(spark, sf), report.response_ms(), width="1 hour")
 
 
+def merged_percentiles(fine: DataFrame, times: DataFrame) -> DataFrame:
+    """Hourly and overall percentiles from the sketches of shorter windows, held against the rows."""
+    longer = sketches.merged(fine, "1 hour").unionByName(sketches.merged(fine))
+    found = sketches.percentiles(longer, report.POINTS)
+    return sketches.rank_errors(found, times, report.response_ms(), report.POINTS, "1 hour")
+
+
+@query
+def duration_percentile_sketches(spark, sf):
+    times = D.timings(spark, sf)
+    return merged_percentiles(sketches.window_sketches(times, report.response_ms(), "1 minute"), times)
+
+
 @query
 def sold_out_time(spark, sf):
     requests = D.requests(spark, sf)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstile.operators import projections, report, tables
+from turnstile.operators import projections, report, sketches, tables
 from turnstile.operators.lifecycle import merge_updates
 from turnstile.plans import queries as Q
 from turnstile.schemas import conform
@@ -209,11 +209,12 @@ def _closing(log, ts: str):
     return late.withColumns({"seq": F.col("seq") + 1, "reservation_id": F.lit(_CLOSING_ID)})
 
 
-def _streamed_with_closing(spark, log, ts, path):
-    columns = ["reservation_id", ts, "seq"]
+def _streamed_with_closing(spark, log, ts, path, *more):
+    columns = ["reservation_id", ts, "seq", *more]
     rows = log.withColumn("seq", F.unix_micros(ts)).select(*columns)
     write_pieces(rows, path, PIECES, "reservation_id")
-    _closing(rows, ts).select(*columns).write.parquet(f"{path}/last")
+    empty = {c: F.lit(None).cast(rows.schema[c].dataType) for c in more}
+    _closing(rows, ts).withColumns(empty).select(*columns).write.parquet(f"{path}/last")
     return stream_files(spark, path, rows.schema, 1).drop("seq")
 
 
@@ -229,6 +230,21 @@ def stream_rate_tumbling(spark, sf):
     return logs.read_batches(spark, f"{base}/rates").drop("batch")
 
 
+@query
+def stream_duration_percentile(spark, sf):
+    """Sketches of a live stream's windows as a table, merged into percentiles per hour and over all."""
+    base = scratch_path(spark, "percentile")
+    times = D.timings(spark, sf)
+    stream = _streamed_with_closing(spark, times, "ts", f"{base}/times", "post_ms", "get_ms")
+    live = stream.withWatermark("ts", "10 seconds")
+    run_to_end(
+        sketches.window_sketches(live, report.response_ms(), "1 minute"),
+        lambda batch, n: logs.write_batch(batch, f"{base}/sketches", n),
+        f"{base}/checkpoint", partitions=STATE_PARTITIONS,
+    )
+    return Q.merged_percentiles(logs.read_batches(spark, f"{base}/sketches").drop("batch"), times)
+
+
 @query
 def stream_lookup_wait(spark, sf):
     base = scratch_path(spark, "wait")
