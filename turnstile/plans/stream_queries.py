@@ -12,6 +12,7 @@ from turnstile.session import scratch_path
 from turnstile.sources import driver_tables as D
 from turnstile.sources import logs
 from turnstile.streaming.allocator import run_allocator, run_flow
+from turnstile.streaming.chain import Chain
 from turnstile.streaming.intake import run_intake
 from turnstile.streaming.lifecycle import lifecycle_stream
 from turnstile.streaming.runtime import run_to_end, stream_files, write_pieces
@@ -129,6 +130,22 @@ def stream_reservation_flow(spark, sf):
     return Q.seats_as_text(run.run()).select("reservation_id", "state", "seats")
 
 
+@query
+def stream_chained_jobs(spark, sf):
+    """Intake, allocator and life cycle as three jobs; each runs twice, the second time over what has come since."""
+    run = _FlowRun(spark, sf)
+    chain = Chain(spark, scratch_path(spark, "chain"))
+    snapshot = projections.area_status(D.areas(spark, sf))
+    for pieces in (range(0, 1), range(1, PIECES)):
+        run.feed(only=pieces)
+        events = stream_files(spark, run.areas, logs.schema_of(spark, "create_event"))
+        requests = projections.normalise_requests(stream_files(spark, run.requests, run.log.schema))
+        chain.intake(requests, lambda batch_id: snapshot)
+        chain.allocator(projections.event_areas(events))
+        chain.lifecycle(STATE_PARTITIONS)
+    return Q.seats_as_text(chain.reservations()).select("reservation_id", "state", "seats")
+
+
 @query
 def stream_early_rejection(spark, sf):
     """Requests of the connected flow, and whether early rejection ever kept out one that would have got seats."""

@@ -13,6 +13,7 @@ proportion to an area's seats and not to the requests of the batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -128,6 +129,7 @@ def run_allocator(
     states_path: str,
     checkpoint: str,
     registry: dict[str, Strategy] = STRATEGIES,
+    sink: Callable[[DataFrame, str, int], None] = write_batch,
 ) -> None:
     """The allocator job: results, area changes and area states, each to its own log.
 
@@ -139,11 +141,11 @@ def run_allocator(
     def write(batch: DataFrame, batch_id: int) -> None:
         step = step_of(batch.persist(), states.before(batch_id))
         allocation = allocate(step.requests, step.areas(), registry=registry)
-        write_batch(allocation.results().withColumnRenamed("reserved_seats", "seats_won").select(
+        sink(allocation.results().withColumnRenamed("reserved_seats", "seats_won").select(
             "seq", "ts", "reservation_id", "event_area_id", "result", F.col("seats_won").alias("seats"),
             "error_code", "error_message",
         ), results_path, batch_id)
-        write_batch(step.changes(allocation), changes_path, batch_id)
+        sink(step.changes(allocation), changes_path, batch_id)
         states.write(allocation.final_areas(), batch_id)
         batch.unpersist()
 

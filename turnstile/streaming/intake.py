@@ -22,6 +22,7 @@ def run_intake(
     final_path: str,
     checkpoint: str,
     registry: dict[str, Strategy] = STRATEGIES,
+    sink: Callable[[DataFrame, str, int], None] = write_batch,
 ) -> None:
     """Each batch is decided against the snapshot that ``snapshot`` gives for its number.
 
@@ -34,9 +35,9 @@ def run_intake(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         decided = prefilter.decide(batch, snapshot(batch_id), registry).persist()
-        write_batch(decided, created_path, batch_id)
-        write_batch(reserve_requests(route(decided, "processing")), reserve_path, batch_id)
-        write_batch(route(decided, "processed"), final_path, batch_id)
+        sink(decided, created_path, batch_id)
+        sink(reserve_requests(route(decided, "processing")), reserve_path, batch_id)
+        sink(route(decided, "processed"), final_path, batch_id)
         decided.unpersist()
 
     run_to_end(requests, write, checkpoint)

@@ -45,15 +45,15 @@ class ReservationStates(StatefulProcessor):
 
 def lifecycle_stream(created: DataFrame, results: DataFrame) -> DataFrame:
     """Updated reservations, one row per applied result."""
-    tagged = created.select(*RESERVATION).withColumn("seats", F.to_json("seats")).unionByName(
-        results.select(
-            "seq",
-            "reservation_id",
-            F.col("result").alias("_result"),
-            F.to_json("seats").alias("_seats"),
-            failure_reason(F.col("error_code"), F.col("error_message")).alias("_reason"),
-        ),
-        allowMissingColumns=True,
+    made = created.select(*RESERVATION).withColumn("seats", F.to_json("seats"))
+    told = results.select(
+        "seq",
+        "reservation_id",
+        F.col("result").alias("_result"),
+        F.to_json("seats").alias("_seats"),
+        failure_reason(F.col("error_code"), F.col("error_message")).alias("_reason"),
     )
+    # Results first: of a job that follows both logs live, what is asked for later has the reservations of these results.
+    tagged = told.unionByName(made, allowMissingColumns=True)
     updated = tagged.groupBy("reservation_id").transformWithState(ReservationStates(), _COLUMNS, "Append", "None")
     return updated.withColumn("seats", F.from_json("seats", SEATS))
