@@ -529,6 +529,7 @@ for _name in ("stream_reserve_seats", "stream_restart", "stream_order_by_seq", "
 ORACLES["stream_area_changelog"] = ORACLES["area_status_changelog"]
 ORACLES["stream_lifecycle"] = ORACLES["apply_results"]
 ORACLES["stream_reservation_flow"] = ctes(*FLOW) + f"SELECT reservation_id, state, {seats_text()} AS seats FROM final"
+ORACLES["reservation_lookup_stored"] = ORACLES["reservation_lookup"]
 ORACLES["stream_chained_jobs"] = ORACLES["stream_reservation_flow"]
 ORACLES["stream_early_rejection"] = ctes(*FLOW) + """
 SELECT count(*) AS requests, count(*) FILTER (state = 'RESERVED') AS reserved, true AS some_rejected_early,

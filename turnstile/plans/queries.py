@@ -18,7 +18,7 @@ from turnstile.plans.reservations import admit_and_allocate, reservation_flow, r
 from turnstile.schemas import conform
 from turnstile.session import scratch_path
 from turnstile.sources import driver_tables as D
-from turnstile.sources import ingest, logs
+from turnstile.sources import buckets, ingest, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 BATCH: dict[str, Query] = {}
@@ -447,6 +447,19 @@ def reservation_lookup(spark, sf):
     return lookup(latest, customers).select("reservation_id", "seq", "state")
 
 
+@query
+def reservation_lookup_stored(spark, sf):
+    """The same lookup on a table that is kept in hash buckets and was filled by three batches."""
+    path, updates = scratch_path(spark, "reservations"), D.reservation_updates(spark, sf)
+    how = ("reservation_id", ["seq"], 16)
+    for batch in range(3):
+        buckets.add_updates(updates.where(F.pmod(F.col("seq"), F.lit(3)) == batch), path, *how)
+    customers = D.table(spark, sf, "customer").select(
+        F.concat(F.lit("u-"), F.col("c_custkey").cast("string")).alias("reservation_id")
+    )
+    return buckets.find_all(path, updates.schema, *how, customers).select("reservation_id", "seq", "state")
+
+
 @query
 def area_cache_topn(spark, sf):
     touched = tables.latest_per_key(
