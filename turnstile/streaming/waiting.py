@@ -1,65 +1,63 @@
-"""Lookups that wait, as a stateful stream keyed by reservation id."""
+"""Lookups that wait, as a stateful stream; the state is outcomes and waiting asks by bucket of their ids."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnstile.operators.lookup import WAIT_SECONDS
+from turnstile.streaming.keyed import held, hold, per_bucket
 
 _ANSWER = "reservation_id string, ask_us bigint, outcome_us bigint, timed_out boolean"
+NO_TIME = -(2**63)
 
 
-class Waiting(StatefulProcessor):
-    """Holds an id's first outcome, however old, and its asks that wait.
+def waiting(wait_us: int) -> Callable:
+    """Holds each id's first outcome, however old, and its asks that wait.
 
     Times are microseconds.  An ask is answered once: by an outcome that is
     known by its deadline, at the latest when the watermark passes that.
     """
 
-    def __init__(self, wait_us: int):
-        self.wait_us = wait_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "us bigint")
-        self.asks = handle.getMapState("asks", "us bigint", "n int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = self.first.get()[0] if self.first.exists() else None
-        for r in rows:
-            if r["outcome_us"] is not None:
-                first = r["outcome_us"] if first is None else min(first, r["outcome_us"])
+    def answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        firsts, waits = held(state) or ([], [])
+        first = dict(map(tuple, firsts))
+        waits = [tuple(ask) for ask in waits]
+        for frame in frames:
+            for name, us, is_ask in zip(frame["reservation_id"].tolist(), frame["us"].tolist(), frame["asks"].tolist()):
+                if is_ask:
+                    waits.append((name, us))
+                else:
+                    first[name] = min(us, first.get(name, us))
+        passed = state.getCurrentWatermarkMs() * 1000
+        open_asks, answers = [], []
+        for name, at in waits:
+            # Answered if the answer can no longer change: the deadline is over, or no earlier outcome can come.
+            known, deadline = first.get(name), at + wait_us
+            if passed <= deadline and (known is None or passed <= known):
+                open_asks.append((name, at))
             else:
-                at = (r["ask_us"],)
-                n = self.asks.getValue(at)[0] if self.asks.containsKey(at) else 0
-                self.asks.updateValue(at, (n + 1,))
-                # Timers are in milliseconds and fire once the watermark is past them.
-                self.handle.registerTimer((r["ask_us"] + self.wait_us) // 1000 + 1)
-        if first is not None:
-            self.first.update((first,))
-        yield from self._answer(key, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._answer(key, expiredTimerInfo.getExpiryTimeInMs() * 1000)
-
-    def _answer(self, key, passed_us: int) -> Iterator[Row]:
-        """Asks whose answer can no longer change: the deadline is over, or no earlier outcome can come."""
-        first = self.first.get()[0] if self.first.exists() else None
-        for (at,), (n,) in list(self.asks.iterator()):
-            deadline = at + self.wait_us
-            if passed_us <= deadline and (first is None or passed_us <= first):
-                continue
-            found = first if first is not None and first <= deadline else None
-            for _ in range(n):
-                yield Row(reservation_id=key[0], ask_us=at, outcome_us=found, timed_out=found is None)
-            self.asks.removeKey((at,))
-
-    def close(self) -> None:
-        pass
+                answers.append((name, at, known if known is not None and known <= deadline else None))
+        hold(state, (list(first.items()), open_asks))
+        if open_asks:
+            # Timers are in milliseconds and fire once the watermark is past them.
+            state.setTimeoutTimestamp((min(at for _, at in open_asks) + wait_us) // 1000 + 1)
+        if answers:
+            names, asked, found = zip(*answers)
+            yield pd.DataFrame(
+                {
+                    "reservation_id": pd.Series(names, dtype=object),
+                    "ask_us": asked,
+                    "outcome_us": pd.array(found, dtype="Int64"),
+                    "timed_out": [us is None for us in found],
+                }
+            )
+
+    return answer
 
 
 def lookup_or_wait_stream(
@@ -74,18 +72,13 @@ def lookup_or_wait_stream(
     asked = asks.select("reservation_id", F.col("ask_ts").alias("at"), F.lit(True).alias("asks"))
     known = outcomes.select("reservation_id", F.col("outcome_ts").alias("at"), F.lit(False).alias("asks"))
     both = asked.withWatermark("at", lateness).unionByName(known.withWatermark("at", lateness))
-    timed = both.select(
-        "reservation_id",
-        "at",
-        F.when(F.col("asks"), F.unix_micros(at)).alias("ask_us"),
-        F.when(~F.col("asks"), F.unix_micros(at)).alias("outcome_us"),
-    )
-    answers = timed.groupBy("reservation_id").transformWithState(
-        Waiting(wait * 1_000_000), _ANSWER, "Append", "EventTime"
-    )
+    # An outcome without a time is none; an ask without one is over at once.
+    us = F.coalesce(F.unix_micros(at), F.lit(NO_TIME)).alias("us")
+    timed = both.where(at.isNotNull() | F.col("asks")).select("reservation_id", "at", us, "asks")
+    answers = per_bucket(timed, "reservation_id", waiting(wait * 1_000_000), _ANSWER, GroupStateTimeout.EventTimeTimeout)
     return answers.select(
         "reservation_id",
-        F.timestamp_micros("ask_us").alias("ask_ts"),
+        F.timestamp_micros(F.nullif("ask_us", F.lit(NO_TIME))).alias("ask_ts"),
         F.timestamp_micros("outcome_us").alias("outcome_ts"),
         "timed_out",
     )
