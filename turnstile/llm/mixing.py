@@ -207,6 +207,8 @@ def _repeat(docs: DataFrame, plan: DataFrame) -> DataFrame:
         F.sum("_llm_n").cast("int").alias("_llm_n"), F.count("*").alias("_llm_rows")
     )
     per_id = scratch(per_id.where("_llm_n > 0"), "mix-times")
+    # One row per document: it never goes through the driver.
+    per_id = per_id.hint("merge")
     sized = docs.withColumn("_llm_size", n_words(whole_text()))
     same = (
         F.col("doc_id").cast("bigint").eqNullSafe(F.col("_llm_id"))

@@ -95,30 +95,28 @@ def links(prints: DataFrame, groups: int = GROUPS) -> DataFrame:
 
     ``prints`` has one column ``fp`` of distinct values.
     """
-    masks = group_masks(groups)
-    choices = [
-        F.struct(
-            F.lit(place).cast("int").alias("cell"),
-            F.col("counts").bitwiseAND(F.lit(_signed(sum(masks[g] & (2**64 - 1) for g in chosen)))).alias("at"),
-            F.lit(sum(1 << g for g in range(max(chosen)) if g not in chosen)).cast("int").alias("passed"),
-        )
-        for place, chosen in enumerate(combinations(range(groups), groups - DISTANCE))
+    masks, chosen = group_masks(groups), list(combinations(range(groups), groups - DISTANCE))
+    kept = [_signed(sum(masks[g] & (2**64 - 1) for g in c)) for c in chosen]
+    passed = [sum(1 << g for g in range(max(c)) if g not in c) for c in chosen]
+    places = [
+        F.struct(F.lit(cell).cast("int").alias("cell"), F.col("counts").bitwiseAND(F.lit(mask)).alias("at"))
+        for cell, mask in enumerate(kept)
     ]
-    placed = prints.select("fp", counts(F.col("fp")).alias("counts"))
-    cells = placed.select("fp", "counts", F.inline(F.array(*choices)))
-    a = cells.select("cell", "at", F.col("fp").alias("a"), F.col("counts").alias("counts_a"), "passed")
-    b = cells.select("cell", "at", F.col("fp").alias("b"), F.col("counts").alias("counts_b"))
-    apart = F.col("counts_a").bitwiseXOR(F.col("counts_b"))
+    # Both sides are one table, shuffled once: a row is no more than its cell and its fingerprint.  It is many times what
+    # Spark takes it for, so it must not go through the driver.
+    cells = prints.select("fp", counts(F.col("fp")).alias("counts")).select("fp", F.inline(F.array(*places)))
+    met = cells.alias("a").join(cells.alias("b").hint("merge"), ["cell", "at"]).where("a.fp < b.fp")
+    met = met.select("cell", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    apart = counts(F.col("a")).bitwiseXOR(counts(F.col("b")))
     agree = F.lit(0)
     for g, m in enumerate(masks):
         agree = agree + F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(1 << g)).otherwise(F.lit(0))
     near = (
-        (F.col("a") < F.col("b"))
-        & (F.bit_count(apart) <= DISTANCE)
+        (F.bit_count(apart) <= DISTANCE)
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-        & (agree.bitwiseAND(F.col("passed")) == 0)
+        & (agree.bitwiseAND(F.get(F.array(*map(F.lit, passed)), F.col("cell"))) == 0)
     )
-    return a.join(b, ["cell", "at"]).where(near).select("a", "b")
+    return met.where(near).select("a", "b")
 
 
 def grouped(prints: DataFrame) -> DataFrame:
