@@ -47,7 +47,7 @@ def test_the_fold_looks_at_few_requests_of_a_sold_out_area(monkeypatch):
         assert sum(seen) <= 4 * 2 * REQUESTS_AT_ONCE
 
 
-def test_sorts_of_fold_and_answers_begin_with_a_number(spark):
+def test_sorts_of_the_answers_begin_with_a_number(spark):
     log = [request(s, "RANDOM", 1 + s % 2) for s in range(1, 30)]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
